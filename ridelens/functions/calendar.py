@@ -7,16 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ridelens.functions.text import strip_space
 from ridelens.schema import TIME_PERIOD_DEFAULT, TIME_PERIODS
 
 
 def parse_datetime(date: Column, time: Column, formats: Sequence[str] = ()) -> Column:
-    """Date text and time text to a naive timestamp; NULL if they do not parse.
+    """Stripped date and time texts to a naive timestamp; NULL if they do not parse.
 
     ISO layouts need no format. Other layouts are tried in the given order.
     """
-    text = F.concat(strip_space(date), F.lit(" "), strip_space(time))
+    text = F.concat(date, F.lit(" "), time)
     tries = [text.try_cast("timestamp_ntz")]
     tries += [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
     return F.coalesce(*tries)

@@ -49,20 +49,15 @@ def _unquote(stripped: Column) -> Column:
     return F.btrim(F.btrim(stripped, F.lit(_DOUBLE)), F.lit(_SINGLE))
 
 
-def _strip_wide(col: Column) -> Column:
-    return F.btrim(col, F.lit(WHITESPACE))
-
-
-def strip_space(col: Column, full: Column | None = None) -> Column:
+def strip_space(col: Column) -> Column:
     """Strip white space of any kind from both ends (``trim`` takes only spaces)."""
-    full = has_rare_space(col) if full is None else full
-    return F.when(full, _strip_wide(col)).otherwise(F.trim(col))
+    return F.btrim(col, F.lit(WHITESPACE))
 
 
 def strip_quotes(col: Column, full: Column | None = None) -> Column:
     """Strip white space, then runs of double quotes, then runs of single quotes."""
     full = has_rare_space(col) if full is None else full
-    return F.when(full, _unquote(_strip_wide(col))).otherwise(_unquote(F.trim(col)))
+    return F.when(full, _unquote(strip_space(col))).otherwise(_unquote(F.trim(col)))
 
 
 def clean_text(col: Column, full: Column | None = None) -> Column:
@@ -72,7 +67,7 @@ def clean_text(col: Column, full: Column | None = None) -> Column:
     says whether the long way is needed; by default the value itself is asked.
     """
     full = needs_full_clean(col) if full is None else full
-    collapsed = F.regexp_replace(_unquote(_strip_wide(col)), _COLLAPSIBLE, " ")
+    collapsed = F.regexp_replace(_unquote(strip_space(col)), _COLLAPSIBLE, " ")
     return F.when(full, collapsed).otherwise(_unquote(F.trim(col)))
 
 
@@ -81,10 +76,10 @@ def missing_to_null(col: Column) -> Column:
     return F.when(~col.isin(MISSING_TOKENS), col)
 
 
-def is_nonblank(col: Column, also: tuple[str, ...] = ()) -> Column:
+def is_nonblank(stripped: Column, also: tuple[str, ...] = ()) -> Column:
     """True where a stripped text is present, not empty and not the word "nan"."""
-    text = strip_space(col)
-    return text.isNotNull() & ~F.lower(text).isin("", "nan") & ~text.isin(list(also) or [""])
+    known = stripped.isNotNull() & ~F.lower(stripped).isin("", "nan")
+    return known & ~stripped.isin(list(also)) if also else known
 
 
 def route_label(pickup: str = "Pickup Location", drop: str = "Drop Location") -> Column:

@@ -108,12 +108,9 @@ def add_datetime(
 ) -> DataFrame:
     """``DateTime`` from Date and Time; rows without a valid one are dropped."""
     require_columns(df, ["Date", "Time"])
-    stamped = df.withColumns(
-        {
-            "Date": text.strip_space(F.col("Date")),
-            "Time": text.strip_space(F.col("Time")),
-            "DateTime": calendar.parse_datetime(F.col("Date"), F.col("Time"), formats),
-        }
+    stripped = df.withColumns({c: text.strip_space(F.col(c)) for c in ("Date", "Time")})
+    stamped = stripped.withColumn(
+        "DateTime", calendar.parse_datetime(F.col("Date"), F.col("Time"), formats)
     )
     return stamped if keep_invalid else stamped.filter(F.col("DateTime").isNotNull())
 
@@ -139,8 +136,9 @@ def add_time_period(df: DataFrame, scheme: str = "standard") -> DataFrame:
     return df.withColumn("Time_Period", label)
 
 
-def _status() -> Column:
-    return text.strip_space(F.col("Booking Status"))
+def _with_status(df: DataFrame) -> DataFrame:
+    """The stripped status as ``_status``: computed once, used by many columns."""
+    return df.withColumn("_status", text.strip_space(F.col("Booking Status")))
 
 
 def add_outcome_flags(df: DataFrame, cancelled: str = "contains") -> DataFrame:
@@ -149,30 +147,30 @@ def add_outcome_flags(df: DataFrame, cancelled: str = "contains") -> DataFrame:
     ``cancelled="contains"`` takes any status with the word in it, whatever the
     case; ``"listed"`` takes only the two known cancelled statuses.
     """
-    status = _status()
+    status = F.col("_status")
     if cancelled == "contains":
         is_cancelled = F.lower(status).contains("cancelled")
     elif cancelled == "listed":
         is_cancelled = status.isin(S.CANCELLED_BY_DRIVER, S.CANCELLED_BY_CUSTOMER)
     else:
         raise ValueError(f"unknown cancelled rule: {cancelled}")
-    return df.withColumns(
+    return _with_status(df).withColumns(
         {
             "Is_Completed": numbers.flag(status == S.COMPLETED),
             "Is_Cancelled": numbers.flag(is_cancelled),
             "Is_Incomplete": numbers.flag(status == S.INCOMPLETE),
             "Is_No_Driver_Found": numbers.flag(status == S.NO_DRIVER_FOUND),
         }
-    )
+    ).drop("_status")
 
 
 def add_booking_outcome(df: DataFrame) -> DataFrame:
     """``Booking_Outcome``: the status relabelled, "Other" for unknown ones."""
-    status = _status()
     label = F.when(F.lit(False), F.lit(None))
     for value, name in S.OUTCOME_LABELS.items():
-        label = label.when(status == value, name)
-    return df.withColumn("Booking_Outcome", label.otherwise("Other"))
+        label = label.when(F.col("_status") == value, name)
+    labelled = _with_status(df).withColumn("Booking_Outcome", label.otherwise("Other"))
+    return labelled.drop("_status")
 
 
 def add_revenue(df: DataFrame, missing_as_zero: bool = False) -> DataFrame:

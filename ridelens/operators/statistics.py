@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridelens import schema as S
 from ridelens.functions.numbers import exact_sum, round_half_up
-from ridelens.functions.tables import fixed_rows, long_rows
+from ridelens.functions.tables import fixed_rows
 from ridelens.operators.reports import completed_rides
 
 
@@ -103,13 +102,17 @@ def histogram_fixed(
     )
 
 
-def _pearson(a: str, b: str) -> Column:
-    """Correlation over the rows that have both values; NULL where undefined."""
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    x = F.when(both, F.col(a).cast("double"))
-    y = F.when(both, F.col(b).cast("double"))
+def _pearson(a: Column, b: Column) -> Column:
+    """Correlation over the rows that have both values; NULL where undefined.
+
+    A side that does not vary is told by its range: merged deviations of a
+    constant can come out a rounding error above 0.
+    """
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
     spread = F.stddev_pop(x) * F.stddev_pop(y)
-    return F.when(F.count_if(both) >= 2, F.try_divide(F.covar_pop(x, y), spread))
+    return F.when(varies, F.try_divide(F.covar_pop(x, y), spread))
 
 
 def correlation_matrix(
@@ -117,18 +120,23 @@ def correlation_matrix(
 ) -> DataFrame:
     """Pairwise Pearson correlations: one row and one column per input column.
 
-    All pairs are aggregates of one pass over the table.
+    One pass: each row is repeated once per column, and that column is correlated
+    with all of them. The aggregate stays small enough to be compiled, which one
+    expression per pair would not.
     """
     columns = [c for c in columns if c in df.columns]
-    pairs = [(a, a) for a in columns] + list(combinations(columns, 2))
-    name = {pair: f"c{i}" for i, pair in enumerate(pairs)}
-    one = df.agg(*[_pearson(*pair).alias(alias) for pair, alias in name.items()])
-
-    def cell(a: str, b: str) -> Column:
-        return round_half_up(F.col(name.get((a, b)) or name[(b, a)]), digits)
-
-    rows = [(a, [cell(a, b) for b in columns]) for a in columns]
-    return long_rows(one, "Column", rows, columns)
+    values = df.select(
+        *[F.col(c).cast("double").alias(f"y{i}") for i, c in enumerate(columns)],
+        *[F.col(c).cast("double").alias(c) for c in columns],
+    )
+    others = [f"y{i}" for i in range(len(columns))]
+    long = values.unpivot(others, columns, "Column", "x").filter(F.col("x").isNotNull())
+    return long.groupBy("Column").agg(
+        *[
+            round_half_up(_pearson(F.col("x"), F.col(y)), digits).alias(c)
+            for y, c in zip(others, columns)
+        ]
+    )
 
 
 def daily_revenue(df: DataFrame) -> DataFrame:

@@ -512,7 +512,6 @@ def queries() -> dict[str, Query]:
         "rating_insights": on_silver(insights.rating_insights),
         "revenue_insights": on_silver(insights.revenue_insights),
         "key_findings": on_silver(insights.key_findings),
-        "recommendations": on_silver(insights.recommendations),
         "insights_document": on_silver(
             lambda df: insights.insights_document(df).select(
                 F.to_json(F.struct("*")).alias("document")
