@@ -62,7 +62,13 @@ def exact_quantiles(
 
     Only the buckets that hold a wanted rank are ordered.
     """
-    counts = value_counts_long(df, columns).withColumn("bucket", magnitude_bucket(F.col("value")))
+    # Stating that the bucket is present keeps both uses of ``counts`` the same plan,
+    # so that the counting runs once and its exchange is used twice.
+    counts = (
+        value_counts_long(df, columns)
+        .withColumn("bucket", magnitude_bucket(F.col("value")))
+        .filter(F.col("bucket").isNotNull())
+    )
     probs = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
     rank = F.col("probability") * (F.col("n_total") - 1)
     wanted = (

@@ -9,17 +9,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridelens.functions.numbers import round_half_up
+from ridelens.functions.numbers import exact_sum, round_half_up
 from ridelens.operators import learning_data as L
 
 MISSING_CATEGORY = "nan"
+MISSING_NUMBER = -1.0  # below every feature's range, so a tree can split it off
 
 
 @dataclass(frozen=True)
@@ -63,8 +65,8 @@ def _quoted(value: str) -> str:
 def imputation_stage(train: DataFrame, spec: ForestSpec) -> SQLTransformer:
     """Gaps filled from training rows: medians for numbers, modes for categories.
 
-    Without imputation a missing category is a category of its own. The values
-    become constants of an SQL stage, so they are saved with the model.
+    Without imputation a missing category is a category of its own, and a missing
+    number takes a value below the range of the others. The values become constants of an SQL stage, so they are saved with the model.
     """
     names = [c for c in spec.used_features() if c in train.columns]
     numbers, texts = L.numeric(names), L.categorical(names)
@@ -76,6 +78,7 @@ def imputation_stage(train: DataFrame, spec: ForestSpec) -> SQLTransformer:
         filled |= {r["Column"]: _quoted(r["Value"]) for r in modes}
     else:
         filled |= {c: _quoted(MISSING_CATEGORY) for c in texts}
+        filled |= {c: str(MISSING_NUMBER) for c in numbers}
     parts = []
     for c in numbers:
         parts.append(f"COALESCE(CAST(`{c}` AS DOUBLE), {filled.get(c, 'NULL')}) AS `numeric__{c}`")
@@ -113,7 +116,19 @@ def fit_features(train: DataFrame, spec: ForestSpec) -> PipelineModel:
 
 
 def train_forest(train: DataFrame, spec: ForestSpec) -> PipelineModel:
-    """Fit features and forest on the training rows (with ``Target_Completed``)."""
+    """Fit features and forest on the training rows (with ``Target_Completed``).
+
+    The rows are read many times (imputation, categories, each level of the
+    trees), so they are kept on the executors for the duration of the fit.
+    """
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _train_forest(train, spec)
+    finally:
+        train.unpersist()
+
+
+def _train_forest(train: DataFrame, spec: ForestSpec) -> PipelineModel:
     prepared = fit_features(train, spec)
     rows = prepared.transform(train)
     forest = RandomForestClassifier(
@@ -147,8 +162,6 @@ def feature_names(model: PipelineModel) -> list[str]:
 
 def feature_importance(model: PipelineModel) -> DataFrame:
     """(Feature, Importance), largest first, rounded to six decimals."""
-    from pyspark.sql import SparkSession
-
     values = model.stages[-1].featureImportances.toArray()
     rows = [(n, float(v)) for n, v in zip(feature_names(model), values)]
     df = SparkSession.active().createDataFrame(rows, "Feature string, Importance double")
@@ -157,6 +170,15 @@ def feature_importance(model: PipelineModel) -> DataFrame:
     )
 
 
+def encoded_columns(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """(Slot, Feature, Total): each transformed column's sum over the rows."""
+    names = feature_names(model)
+    rows = df.sparkSession.createDataFrame(list(enumerate(names)), "Slot int, Feature string")
+    held = model.transform(df).select(F.posexplode(vector_to_array("features")))
+    sums = held.groupBy(F.col("pos").alias("Slot")).agg(exact_sum(F.col("col")).alias("Total"))
+    return rows.join(sums, "Slot", "left").orderBy("Slot")
+
+
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Adds the predicted class and the probability of completion."""
     scored = model.transform(df)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -258,6 +260,74 @@ def _imputation(operator, columns):
     return run
 
 
+# Trees and depth of the registered trainings. The specs in ``models`` hold the full
+# sizes (200 x 16, 200 x 18, 300 x 30); every training here runs on all training rows.
+QUICK = {"trees": 20, "depth": 8}
+_MODELS: dict[tuple[str, str, str], PipelineModel] = {}
+
+
+def _model(spark: SparkSession, sf_dir: str, name: str) -> tuple[PipelineModel, DataFrame]:
+    """A fitted model, trained once per session, and its test rows."""
+    spec = replace(getattr(models, name), **QUICK)
+    source = silver_alternative if name == "NOTEBOOK" else silver
+    train, test = _train_test(source(spark, sf_dir), spec)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _MODELS:
+        _MODELS[key] = models.train_forest(train, spec)
+    return _MODELS[key], test
+
+
+def _metrics(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        model, test = _model(spark, sf_dir, name)
+        return scoring.metrics_binary(models.predict(model, test))
+
+    return run
+
+
+def _predictions(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        model, test = _model(spark, sf_dir, name)
+        return models.prediction_report(
+            models.predict(model, test), getattr(models, name), ROW_KEY
+        )
+
+    return run
+
+
+def _importance(name: str) -> Query:
+    return lambda spark, sf_dir: models.feature_importance(_model(spark, sf_dir, name)[0])
+
+
+def column_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, test = _model(spark, sf_dir, "PREBOOKING")
+    features = PipelineModel(model.stages[:-1])
+    return models.encoded_columns(features, test)
+
+
+def save_load_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, test = _model(spark, sf_dir, "PREBOOKING")
+    path = _scratch(spark, sf_dir, "model")
+    models.save_model(model, path)
+    return models.predict(models.load_model(path), test).groupBy("Predicted_Completed").agg(
+        F.count("*").alias("Rows")
+    )
+
+
+def predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, test = _model(spark, sf_dir, "PREBOOKING")
+    return models.predict(model, test).select(
+        *ROW_KEY, learning_data.TARGET, "Predicted_Completed", "Completion_Probability"
+    )
+
+
+def ai_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = insights.ai_insights(
+        _metrics("PREBOOKING")(spark, sf_dir), _importance("PREBOOKING")(spark, sf_dir)
+    )
+    return report.select(F.to_json(F.struct("*")).alias("ai_insights"))
+
+
 def on_scored(operator) -> Query:
     return lambda spark, sf_dir: operator(_scored(silver(spark, sf_dir)))
 
@@ -590,5 +660,20 @@ def queries() -> dict[str, Query]:
         "classification_report": on_scored(
             lambda df: _rounded(scoring.classification_report(df), "Precision", "Recall", "F1")
         ),
+        "column_transform": column_transform,
+        "train_prebooking": _metrics("PREBOOKING"),
+        "train_wide": _metrics("WIDE"),
+        "train_notebook": _metrics("NOTEBOOK"),
+        "predict": predict,
+        "feature_importance": _importance("PREBOOKING"),
+        "feature_importance_wide": _importance("WIDE"),
+        "save_predictions": _predictions("PREBOOKING"),
+        "save_predictions_wide": _predictions("WIDE"),
+        "save_load_model": save_load_model,
+        "ai_insights": ai_insights,
+        "dash_feature_importance": lambda s, d: dashboard.feature_importance(
+            _importance("PREBOOKING")(s, d)
+        ),
+        "dash_ml_metrics": lambda s, d: dashboard.ml_metrics(_metrics("PREBOOKING")(s, d)),
     }
     return registered
