@@ -45,6 +45,11 @@ def _present(df: DataFrame, columns: Iterable[str]) -> list[str]:
     return [c for c in columns if c in df.columns]
 
 
+# These decide which rows are kept. The optimizer copies their expression into a
+# filter below the shuffle, so it must not carry the test of the whole row along.
+_DECIDING = ("Date", "Time")
+
+
 def _over_text(
     df: DataFrame, columns: Sequence[str] | None, clean: Callable[[Column, Column], Column]
 ) -> DataFrame:
@@ -53,9 +58,9 @@ def _over_text(
         return df
     full = text.needs_full_clean(*[F.col(c) for c in names])
     guarded = df.withColumn("_full_clean", full)
-    return guarded.withColumns({c: clean(F.col(c), F.col("_full_clean")) for c in names}).drop(
-        "_full_clean"
-    )
+    return guarded.withColumns(
+        {c: clean(F.col(c), F.lit(True) if c in _DECIDING else F.col("_full_clean")) for c in names}
+    ).drop("_full_clean")
 
 
 def clean_text_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ number of columns. Distinct counts and top values come from one count of
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,9 +54,24 @@ def _per_column(
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str], key: str = "Column") -> DataFrame:
-    """(Column, distinct non-missing values) for columns of any type."""
-    counts = value_counts_by_column(df, columns).filter(F.col("Value").isNotNull())
-    found = counts.groupBy("Column").agg(F.count("*").alias("Unique Values"))
+    """(Column, distinct non-missing values) for columns of any type.
+
+    Columns of one type are counted together, in their own type: turning numbers
+    and moments into text to put all columns in one list would cost more.
+    """
+    types = dict(df.dtypes)
+    counted = []
+    for kind in dict.fromkeys(types[c] for c in columns):
+        same = [c for c in columns if types[c] == kind]
+        pairs = df.select(*same).unpivot([], same, "Column", "Value")
+        counted.append(
+            pairs.filter(F.col("Value").isNotNull())
+            .groupBy("Column", "Value")
+            .agg(F.lit(1).alias("one"))
+            .groupBy("Column")
+            .agg(F.count("*").alias("Unique Values"))
+        )
+    found = reduce(DataFrame.union, counted)
     names = found.sparkSession.createDataFrame([(c,) for c in columns], "Column string")
     return names.join(found, "Column", "left").select(
         F.col("Column").alias(key),
@@ -441,14 +457,24 @@ def cleaning_summary(
 ) -> DataFrame:
     """Counters of a cleaning run in one row, from the raw and the cleaned table."""
     texts = raw.transform(cleaning.clean_text_columns)
-    groups = texts.groupBy(*texts.columns).agg(F.count("*").alias("n"))
     ts = calendar.parse_datetime(F.col("Date"), F.col("Time"))
-    before = groups.agg(
+    rows = texts.groupBy(*texts.columns).agg(F.count("*").alias("n"))
+    per_id = rows.groupBy("Booking ID").agg(
+        F.sum("n").alias("n"),
+        F.count("*").alias("kept"),
+        (F.count("*") - F.count(ts)).alias("bad"),
+    )
+    repeated = F.col("kept") > 1
+    before = per_id.agg(
         F.sum("n").alias("original_rows"),
-        F.sum(F.col("n") - 1).alias("exact_duplicate_rows_removed"),
-        (F.count("*") - F.count(ts)).alias("invalid_datetime_rows_removed"),
-    ).withColumn("original_columns", F.lit(raw_columns))
-    ids = duplicate_ids_all(groups.select("Booking ID"))
+        F.lit(raw_columns).alias("original_columns"),
+        F.sum(F.col("n") - F.col("kept")).alias("exact_duplicate_rows_removed"),
+        F.sum("bad").alias("invalid_datetime_rows_removed"),
+        F.count(F.when(repeated, F.col("Booking ID"))).alias("duplicate_booking_ids_found"),
+        F.coalesce(F.sum(F.when(repeated, F.col("kept"))), F.lit(0)).alias(
+            "rows_with_duplicate_booking_ids"
+        ),
+    )
     after = clean.agg(
         F.count("*").alias("final_rows"),
         F.lit(len(clean_columns)).alias("final_columns"),
@@ -459,4 +485,4 @@ def cleaning_summary(
         F.sum("Is_No_Driver_Found").alias("no_driver_found_bookings"),
         round_half_up(exact_sum(F.col("Revenue")), 2).alias("total_revenue_completed_rides"),
     )
-    return side_by_side(before, ids, after)
+    return side_by_side(before, after)

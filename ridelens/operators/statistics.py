@@ -102,41 +102,58 @@ def histogram_fixed(
     )
 
 
-def _pearson(a: Column, b: Column) -> Column:
-    """Correlation over the rows that have both values; NULL where undefined.
+# A sum of squares this much smaller than its parts is rounding, not variance.
+_NO_VARIANCE = 1e-12
 
-    A side that does not vary is told by its range: merged deviations of a
-    constant can come out a rounding error above 0.
-    """
-    both = a.isNotNull() & b.isNotNull()
-    x, y = F.when(both, a), F.when(both, b)
-    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    spread = F.stddev_pop(x) * F.stddev_pop(y)
-    return F.when(varies, F.try_divide(F.covar_pop(x, y), spread))
+
+def _pearson(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:
+    """Correlation from sums; NULL where a side does not vary."""
+    vx, vy = n * sxx - sx * sx, n * syy - sy * sy
+    varies = (vx > n * sxx * _NO_VARIANCE) & (vy > n * syy * _NO_VARIANCE)
+    return F.when(varies, F.try_divide(n * sxy - sx * sy, F.sqrt(vx) * F.sqrt(vy)))
 
 
 def correlation_matrix(
     df: DataFrame, columns: Sequence[str] = tuple(S.CORRELATION_COLUMNS), digits: int = 3
 ) -> DataFrame:
-    """Pairwise Pearson correlations: one row and one column per input column.
+    """Pairwise Pearson correlations over the rows that have both values.
 
-    One pass: each row is repeated once per column, and that column is correlated
-    with all of them. The aggregate stays small enough to be compiled, which one
-    expression per pair would not.
+    Each row is repeated once per column, and that column is paired with all of
+    them. Values are first centred on the column means (constants from a pass
+    before), which keeps plain sums accurate; a missing partner counts as 0 with
+    weight 0, so the sums need no branches.
     """
     columns = [c for c in columns if c in df.columns]
-    values = df.select(
-        *[F.col(c).cast("double").alias(f"y{i}") for i, c in enumerate(columns)],
-        *[F.col(c).cast("double").alias(c) for c in columns],
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns])
+
+    def centred(c: str) -> Column:
+        return F.col(c).cast("double") - F.coalesce(means.select(c).scalar(), F.lit(0.0))
+
+    values = df.select(*[centred(c).alias(c) for c in columns])
+    partners = {}
+    for i, c in enumerate(columns):
+        partners[f"y{i}"] = F.coalesce(F.col(c), F.lit(0.0))
+        partners[f"w{i}"] = F.col(c).isNotNull().cast("double")
+    long = values.withColumns(partners).unpivot(list(partners), columns, "Column", "x")
+    x = F.col("x")
+    sums = {}
+    for i in range(len(columns)):
+        y, w = F.col(f"y{i}"), F.col(f"w{i}")
+        sums |= {f"n{i}": w, f"sx{i}": x * w, f"sy{i}": y, f"sxx{i}": x * x * w, f"syy{i}": y * y,
+                 f"sxy{i}": x * y}
+    summed = long.filter(x.isNotNull()).groupBy("Column").agg(
+        *[F.sum(e).alias(name) for name, e in sums.items()]
     )
-    others = [f"y{i}" for i in range(len(columns))]
-    long = values.unpivot(others, columns, "Column", "x").filter(F.col("x").isNotNull())
-    return long.groupBy("Column").agg(
-        *[
-            round_half_up(_pearson(F.col("x"), F.col(y)), digits).alias(c)
-            for y, c in zip(others, columns)
-        ]
+    cells = [
+        _pearson(*[F.col(f"{part}{i}") for part in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+        for i in range(len(columns))
+    ]
+    matrix = summed.select(
+        "Column", *[round_half_up(cell, digits).alias(c) for c, cell in zip(columns, cells)]
     )
+    # A column without any value still has its row.
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "Column string")
+    return names.join(matrix, "Column", "left")
 
 
 def daily_revenue(df: DataFrame) -> DataFrame:

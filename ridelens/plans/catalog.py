@@ -26,7 +26,7 @@ from ridelens.operators import (
     statistics,
     variants,
 )
-from ridelens.plans.layers import bronze, shared_folder, silver, silver_alternative
+from ridelens.plans.layers import audit, bronze, shared_folder, silver, silver_alternative
 from ridelens.sources import raw, sinks
 from ridelens.sources.derived import ROW_KEY, bookings_text
 
@@ -50,12 +50,8 @@ FILTER = {
 }
 
 
-def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiling.audit_table(bronze(spark, sf_dir))
-
-
 def _audit_business(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _audit(spark, sf_dir).select(*COLS)
+    return audit(spark, sf_dir).select(*COLS)
 
 
 def on_silver(operator: Callable[[DataFrame], DataFrame]) -> Query:
@@ -63,7 +59,7 @@ def on_silver(operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def on_audit(operator: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: operator(_audit(spark, sf_dir))
+    return lambda spark, sf_dir: operator(audit(spark, sf_dir))
 
 
 def on_bronze(operator: Callable[[DataFrame], DataFrame]) -> Query:

@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridelens.operators import cleaning
+from ridelens.operators import cleaning, profiling
 from ridelens.sources.derived import bookings_text
 from ridelens.sources.raw import normalise_missing
 
@@ -60,6 +60,13 @@ def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table audits look at: stripped text and numbers, nothing dropped."""
+    return materialise(
+        spark, "audit", sf_dir, lambda: profiling.audit_table(bronze(spark, sf_dir))
+    )
+
+
 def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned bookings with the row key."""
     return materialise(

@@ -103,6 +103,21 @@ WEEKDAYS = [
     "Sunday",
 ]
 
+MONTHS = [
+    "January",
+    "February",
+    "March",
+    "April",
+    "May",
+    "June",
+    "July",
+    "August",
+    "September",
+    "October",
+    "November",
+    "December",
+]
+
 # (upper bound of the right-closed interval, label); the first also takes 0
 DISTANCE_BUCKETS = [
     (5.0, "0-5 km"),
