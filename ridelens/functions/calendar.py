@@ -22,7 +22,9 @@ def parse_datetime(date: Column, time: Column, formats: Sequence[str] = ()) -> C
 
 
 def _name(names: Sequence[str], position: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(n) for n in names]), position)
+    # Stated, because in ANSI mode the lookup of a NULL position is not NULL.
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), position)
+    return F.when(position.isNotNull(), name)
 
 
 def calendar_columns(ts: Column) -> dict[str, Column]:

@@ -17,7 +17,7 @@ from ridelens import schema as S
 from ridelens.functions import calendar
 from ridelens.functions.numbers import exact_mean, exact_sum, percent, round_half_up
 from ridelens.functions.ranking import quantile_columns
-from ridelens.functions.tables import long_rows, share, side_by_side
+from ridelens.functions.tables import fixed_rows, long_rows, share, side_by_side
 from ridelens.operators import cleaning
 
 
@@ -72,7 +72,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], key: str = "Column")
             .agg(F.count("*").alias("Unique Values"))
         )
     found = reduce(DataFrame.union, counted)
-    names = found.sparkSession.createDataFrame([(c,) for c in columns], "Column string")
+    names = fixed_rows(df.sparkSession, [(c,) for c in columns], "Column string")
     return names.join(found, "Column", "left").select(
         F.col("Column").alias(key),
         F.coalesce("Unique Values", F.lit(0)).cast("long").alias("Unique Values"),

@@ -152,7 +152,7 @@ def correlation_matrix(
         "Column", *[round_half_up(cell, digits).alias(c) for c, cell in zip(columns, cells)]
     )
     # A column without any value still has its row.
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "Column string")
+    names = fixed_rows(df.sparkSession, [(c,) for c in columns], "Column string")
     return names.join(matrix, "Column", "left")
 
 

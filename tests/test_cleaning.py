@@ -98,6 +98,12 @@ def test_calendar_monday_is_zero(spark):
     assert (row.Day_of_Week, row.Day_Name, row.Hour, row.Is_Weekend) == (6, "Sunday", 23, 1)
 
 
+def test_calendar_of_a_missing_moment_is_missing(spark):
+    df = spark.createDataFrame([("bad", "10:00:00")], "Date string, Time string")
+    row = cleaning.add_calendar(cleaning.add_datetime(df, keep_invalid=True)).first()
+    assert row.Month_Name is None and row.Day_Name is None and row.Is_Weekend == 0
+
+
 def test_time_periods_of_every_hour(spark):
     df = spark.range(24).select(F.col("id").cast("int").alias("Hour"))
     got = [r.Time_Period for r in cleaning.add_time_period(df).orderBy("Hour").collect()]
