@@ -249,7 +249,7 @@ def daily(source: str) -> str:
             "FROM spine LEFT JOIN d ON spine.day = d.day")
 
 
-HASH = ("((l_orderkey * 1103515245 + l_partkey * 12345 + l_suppkey * 40503 + "
+HASH = ("((l_orderkey % 2147483647 * 1103515245 + l_partkey * 12345 + l_suppkey * 40503 + "
         "l_linenumber * 2654435) % 2147483647)")
 TARGET = "cast(coalesce(\"Booking Status\" = 'Completed', false) AS int) AS \"Target_Completed\""
 SPLIT = (f", t AS (SELECT *, {TARGET} FROM clean), p AS (SELECT *, row_number() OVER (PARTITION BY "
@@ -604,6 +604,10 @@ def statements() -> dict[str, str]:
         f"SELECT {rd}, {bv} FROM {done} WHERE {rd} IS NOT NULL AND {bv} IS NOT NULL ORDER BY {HASH}, "
         f"{KEY} LIMIT 5000")
 
+    o["dash_value_vs_distance"] = on_clean(
+        f"SELECT {rd}, {bv} FROM {FILTERED} WHERE \"Is_Completed\" = 1 AND {rd} IS NOT NULL AND {bv} "
+        f"IS NOT NULL ORDER BY {HASH}, {KEY} LIMIT 1000")
+
     # insights
     routes = ROUTE.format("clean")
     o["vehicle_insights"] = on_clean(section("Vehicle Type"))

@@ -25,7 +25,8 @@ def exact_sum(col: Column) -> Column:
 
     Values are added in fixed point at six decimals. ``rint`` and the cast to
     long stay cheap per row (a direct double-to-decimal cast formats text), and
-    the decimal accumulator cannot overflow at any realistic row count.
+    the decimal accumulator cannot overflow at any realistic row count. A single
+    value of 9.2e12 or more is an error, not a wrong sum.
     """
     micros = F.sum(F.rint(col * F.lit(_MICRO)).cast("long").cast("decimal(20,0)"))
     return F.coalesce(micros.cast("double") / F.lit(float(_MICRO)), F.lit(0.0))

@@ -216,14 +216,16 @@ def _cleaning_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _arithmetic_hash():
-    """Row order any engine can compute; spread by two odd multipliers."""
+    """Row order any engine can compute; the order key is reduced before it is
+    multiplied, so that no product leaves the range of a long."""
+    prime = 2147483647
     mixed = (
-        F.col("l_orderkey") * 1103515245
+        F.col("l_orderkey") % prime * 1103515245
         + F.col("l_partkey") * 12345
         + F.col("l_suppkey") * 40503
         + F.col("l_linenumber") * 2654435
     )
-    return F.pmod(mixed, F.lit(2147483647))
+    return F.pmod(mixed, F.lit(prime))
 
 
 def _split(df: DataFrame, wanted=learning_data.PREBOOKING_FEATURES) -> DataFrame:
@@ -602,7 +604,8 @@ def queries() -> dict[str, Query]:
             lambda df: statistics.fixed_size_sample(
                 reports.completed_rides(df),
                 ["Ride Distance", "Booking Value"],
-                statistics.hash_order(ROW_KEY),
+                F.struct(_arithmetic_hash(), *ROW_KEY),
+                1000,
             )
         ),
         # alternative rules
