@@ -606,7 +606,7 @@ def statements() -> dict[str, str]:
 
     o["dash_value_vs_distance"] = on_clean(
         f"SELECT {rd}, {bv} FROM {FILTERED} WHERE \"Is_Completed\" = 1 AND {rd} IS NOT NULL AND {bv} "
-        f"IS NOT NULL ORDER BY {HASH}, {KEY} LIMIT 1000")
+        f"IS NOT NULL ORDER BY {HASH}, {KEY} LIMIT 5000")
 
     # insights
     routes = ROUTE.format("clean")

@@ -19,14 +19,20 @@ from ridelens.operators import dashboard, reports
 from ridelens.operators.reports import bookings, bookings_by, flagged, revenue, top_k
 
 
-def section(df: DataFrame, key: Column, name: str, cancelled: bool = True) -> DataFrame:
-    """Counts, recorded revenue and unrounded rates per key."""
+def section(
+    df: DataFrame,
+    key: Column,
+    name: str,
+    cancelled: bool = True,
+    extra: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Counts, recorded revenue and unrounded rates per key; ``extra`` adds measures."""
     measures = {"bookings": bookings(), "completed": flagged("Is_Completed")}
     rates = {"completion_rate": ("completed", "bookings")}
     if cancelled:
         measures["cancelled"] = flagged("Is_Cancelled")
         rates["cancellation_rate"] = ("cancelled", "bookings")
-    measures["revenue"] = revenue("recorded")
+    measures |= {"revenue": revenue("recorded")} | (extra or {})
     return bookings_by(df, [key.alias(name)], measures, rates, digits=None)
 
 
@@ -121,15 +127,15 @@ def payment_highlights(df: DataFrame) -> DataFrame:
     )
 
 
-def cancellation_counts(df: DataFrame) -> DataFrame:
+def _cancellation_columns() -> list[Column]:
     status = F.col("Booking Status")
-    return df.agg(
+    return [
         F.count_if(status.isin(S.CANCELLED_BY_DRIVER, S.CANCELLED_BY_CUSTOMER)).alias(
             "total_cancelled"
         ),
         F.count_if(status == S.CANCELLED_BY_DRIVER).alias("driver_cancellation_count"),
         F.count_if(status == S.CANCELLED_BY_CUSTOMER).alias("customer_cancellation_count"),
-    )
+    ]
 
 
 def _reason_map(counts: DataFrame, name: str) -> DataFrame:
@@ -163,7 +169,7 @@ def _customer_reasons(df: DataFrame) -> DataFrame:
 def cancellation_insights(df: DataFrame) -> DataFrame:
     """Counts and the top-10 reason maps of both cancellers in one row."""
     return side_by_side(
-        cancellation_counts(df),
+        df.agg(*_cancellation_columns()),
         _reason_map(_driver_reasons(df), "top_driver_cancellation_reasons"),
         _reason_map(_customer_reasons(df), "top_customer_cancellation_reasons"),
     )
@@ -176,17 +182,30 @@ def incomplete_insights(df: DataFrame) -> DataFrame:
     )
 
 
-def rating_insights(df: DataFrame) -> DataFrame:
-    rides = reports.completed_rides(df)
-    driver, customer = F.col("Driver Ratings"), F.col("Customer Rating")
-    return rides.agg(
-        round_half_up(exact_mean(driver), 2).alias("average_driver_rating"),
-        round_half_up(exact_mean(customer), 2).alias("average_customer_rating"),
+def _rating_columns() -> list[Column]:
+    """Lowest and highest ratings of completed rides."""
+    done = F.col("Is_Completed") == 1
+    driver, customer = (F.when(done, F.col(c)) for c in S.RATING_COLUMNS)
+    return [
         round_half_up(F.min(driver), 2).alias("driver_rating_min"),
         round_half_up(F.max(driver), 2).alias("driver_rating_max"),
         round_half_up(F.min(customer), 2).alias("customer_rating_min"),
         round_half_up(F.max(customer), 2).alias("customer_rating_max"),
-    )
+    ]
+
+
+RATING_FIELDS = [
+    "average_driver_rating",
+    "average_customer_rating",
+    "driver_rating_min",
+    "driver_rating_max",
+    "customer_rating_min",
+    "customer_rating_max",
+]
+
+
+def rating_insights(df: DataFrame) -> DataFrame:
+    return df.agg(*reports.kpi_columns(), *_rating_columns()).select(*RATING_FIELDS)
 
 
 def revenue_insights(df: DataFrame) -> DataFrame:
@@ -307,65 +326,104 @@ def insights_document(
     """Everything as one nested row. ``df`` is read once per section, so pass a
     stored table."""
 
-    def as_section(frame: DataFrame, name: str) -> DataFrame:
-        return frame.select(F.struct(*frame.columns).alias(name))
-
-    def with_rows(head: DataFrame, rows: DataFrame, order: list[Column], name: str) -> DataFrame:
-        return side_by_side(head, rows.agg(records(rows, order).alias(name)))
-
     c = F.col
     down = -c("bookings")
-    head = _headlines(df)
-    kpis = head.select(
-        F.struct(*[n for _, n in reports.EXECUTIVE_METRICS]).alias("executive_kpis"),
-        F.struct(
-            c("total_bookings").alias("rows"), F.lit(source_file).alias("source_file")
-        ).alias("dataset"),
-        F.array(*_finding_columns()).alias("key_findings"),
-    ).withColumns(
-        {
-            "project": F.lit(project),
-            "title": F.lit(title),
-            "recommendations": F.array(*[F.lit(s) for s in RECOMMENDATIONS]),
-        }
+    vehicle, pickup, payment = (
+        c(n) for n in ("Vehicle Type", "Pickup Location", "Payment Method")
+    )
+    # Every total of the document is one aggregate, every section one more, and a
+    # section's headlines and rows come from the same grouped table.
+    done_value = F.when(c("Is_Completed") == 1, c("Booking Value"))
+    vehicles = section(
+        df, vehicle, "Vehicle Type", extra={"done_value": round_half_up(exact_sum(done_value), 2)}
     )
-    sections = [
-        with_rows(
-            vehicle_highlights(df), vehicle_insights(df), [down, c("Vehicle Type")],
-            "vehicle_summary",
-        ).transform(as_section, "vehicle_insights"),
-        with_rows(
-            hourly_highlights(df), hourly_insights(df), [c("Hour")], "hourly_summary"
-        ).transform(as_section, "hourly_insights"),
-        with_rows(
-            time_period_highlights(df), time_period_insights(df), [c("Time_Period")],
-            "period_summary",
-        ).transform(as_section, "time_period_insights"),
-        with_rows(
-            location_highlights(df), location_insights(df), [down, c("Pickup Location")],
-            "top_pickup_locations",
-        ).transform(as_section, "location_insights"),
-        with_rows(
-            route_highlights(df), route_insights(df), [down, c("Route")], "top_routes"
-        ).transform(as_section, "route_insights"),
-        with_rows(
-            payment_highlights(df), payment_insights(df), [c("Payment Method")],
-            "payment_summary",
-        ).transform(as_section, "payment_insights"),
-        cancellation_insights(df).transform(as_section, "cancellation_insights"),
-        incomplete_insights(df).transform(as_section, "incomplete_insights"),
-        rating_insights(df).transform(as_section, "rating_insights"),
-        revenue_insights(df).transform(as_section, "revenue_insights"),
+    hours = hourly_insights(df)
+    periods = time_period_insights(df)
+    places = location_insights(df)
+    routes = route_insights(df)
+    payments = payment_insights(df)
+    has_rides = c("completed") > 0
+    frames = [
+        df.agg(*reports.kpi_columns(), *_cancellation_columns(), *_rating_columns()),
+        vehicles.agg(
+            best("Vehicle Type", "bookings").alias("highest_demand_vehicle"),
+            best("Vehicle Type", "revenue").alias("highest_revenue_vehicle"),
+            best("Vehicle Type", "completion_rate").alias("highest_completion_vehicle"),
+            F.min_by(
+                "Vehicle Type", F.when(has_rides, F.struct(-c("done_value"), vehicle))
+            ).alias("top_revenue_vehicle"),
+            records(vehicles.drop("done_value"), [down, vehicle]).alias("vehicle_summary"),
+        ),
+        hours.agg(
+            best("Hour", "bookings").alias("peak_hour"),
+            F.max("bookings").alias("peak_hour_bookings"),
+            best("Hour", "revenue").alias("highest_revenue_hour"),
+            F.max("revenue").alias("highest_hourly_revenue"),
+            records(hours, [c("Hour")]).alias("hourly_summary"),
+        ),
+        periods.agg(
+            best("Time_Period", "bookings").alias("highest_demand_period"),
+            records(periods, [c("Time_Period")]).alias("period_summary"),
+        ),
+        places.agg(
+            best("Pickup Location", "bookings").alias("highest_demand_pickup"),
+            F.max("bookings").alias("highest_demand_pickup_bookings"),
+            records(places, [down, pickup]).alias("top_pickup_locations"),
+        ),
+        routes.agg(
+            best("Route", "bookings").alias("highest_volume_route"),
+            F.max("bookings").alias("highest_volume_route_bookings"),
+            records(routes, [down, c("Route")]).alias("top_routes"),
+        ),
+        payments.agg(
+            best("Payment Method", "bookings").alias("most_used_payment_method"),
+            F.max("bookings").alias("most_used_payment_bookings"),
+            records(payments, [payment]).alias("payment_summary"),
+        ),
+        _reason_map(_driver_reasons(df), "top_driver_cancellation_reasons"),
+        _reason_map(_customer_reasons(df), "top_customer_cancellation_reasons"),
+        _reason_map(incomplete_reasons(df), "top_incomplete_reasons"),
     ]
-    order = ["project", "title", "dataset", "executive_kpis", "vehicle_insights",
-             "hourly_insights", "time_period_insights", "location_insights", "route_insights",
-             "payment_insights", "cancellation_insights", "incomplete_insights",
-             "rating_insights", "revenue_insights"]
-    if metrics is not None and importance is not None:
-        sections.append(ai_insights(metrics, importance).transform(as_section, "ai_insights"))
-        order.append("ai_insights")
-    order += ["key_findings", "recommendations"]
-    return side_by_side(kpis, *sections).select(*order)
+    with_model = metrics is not None and importance is not None
+    if with_model:
+        frames.append(ai_insights(metrics, importance))
+    names = {
+        "executive_kpis": [n for _, n in reports.EXECUTIVE_METRICS],
+        "vehicle_insights": ["highest_demand_vehicle", "highest_revenue_vehicle",
+                             "highest_completion_vehicle", "vehicle_summary"],
+        "hourly_insights": ["peak_hour", "peak_hour_bookings", "highest_revenue_hour",
+                            "highest_hourly_revenue", "hourly_summary"],
+        "time_period_insights": ["highest_demand_period", "period_summary"],
+        "location_insights": ["highest_demand_pickup", "highest_demand_pickup_bookings",
+                              "top_pickup_locations"],
+        "route_insights": ["highest_volume_route", "highest_volume_route_bookings", "top_routes"],
+        "payment_insights": ["most_used_payment_method", "most_used_payment_bookings",
+                             "payment_summary"],
+        "cancellation_insights": ["total_cancelled", "driver_cancellation_count",
+                                  "customer_cancellation_count",
+                                  "top_driver_cancellation_reasons",
+                                  "top_customer_cancellation_reasons"],
+        "incomplete_insights": [c("incomplete_bookings").alias("total_incomplete"),
+                                "top_incomplete_reasons"],
+        "rating_insights": RATING_FIELDS,
+        "revenue_insights": [
+            "completed_ride_revenue",
+            c("average_booking_value").alias("average_completed_booking_value"),
+            c("average_ride_distance").alias("average_completed_ride_distance"),
+            "top_revenue_vehicle",
+        ],
+    }
+    if with_model:
+        names["ai_insights"] = ["model_metrics", "top_predictive_features"]
+    rows = F.struct(c("total_bookings").alias("rows"), F.lit(source_file).alias("source_file"))
+    return side_by_side(*frames).select(
+        F.lit(project).alias("project"),
+        F.lit(title).alias("title"),
+        rows.alias("dataset"),
+        *[F.struct(*fields).alias(name) for name, fields in names.items()],
+        F.array(*_finding_columns()).alias("key_findings"),
+        F.array(*[F.lit(s) for s in RECOMMENDATIONS]).alias("recommendations"),
+    )
 
 
 MARKDOWN_KPIS = [

@@ -86,8 +86,8 @@ def _over_completed(column: str) -> Column:
     return exact_mean(F.when(F.col("Is_Completed") == 1, F.col(column)))
 
 
-def insight_kpis(df: DataFrame, money_basis: str = "booking_value") -> DataFrame:
-    """The 14 KPIs in one row, rounded to two decimals.
+def kpi_columns(money_basis: str = "booking_value") -> list[Column]:
+    """The 14 KPIs as aggregates, rounded to two decimals.
 
     ``money_basis`` names the source of the revenue: the ``Revenue`` column or
     the booking values of completed rides. They agree unless values are missing.
@@ -102,7 +102,7 @@ def insight_kpis(df: DataFrame, money_basis: str = "booking_value") -> DataFrame
     def ratio(flag: str) -> Column:
         return round_half_up(percent_or_zero(flagged(flag), total), 2)
 
-    return df.agg(
+    return [
         total.alias("total_bookings"),
         flagged("Is_Completed").alias("completed_bookings"),
         flagged("Is_Cancelled").alias("cancelled_bookings"),
@@ -117,7 +117,12 @@ def insight_kpis(df: DataFrame, money_basis: str = "booking_value") -> DataFrame
         round_half_up(_over_completed("Ride Distance"), 2).alias("average_ride_distance"),
         round_half_up(_over_completed("Driver Ratings"), 2).alias("average_driver_rating"),
         round_half_up(_over_completed("Customer Rating"), 2).alias("average_customer_rating"),
-    )
+    ]
+
+
+def insight_kpis(df: DataFrame, money_basis: str = "booking_value") -> DataFrame:
+    """The 14 KPIs in one row."""
+    return df.agg(*kpi_columns(money_basis))
 
 
 EXECUTIVE_METRICS = [

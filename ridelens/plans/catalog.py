@@ -605,7 +605,6 @@ def queries() -> dict[str, Query]:
                 reports.completed_rides(df),
                 ["Ride Distance", "Booking Value"],
                 F.struct(_arithmetic_hash(), *ROW_KEY),
-                1000,
             )
         ),
         # alternative rules

@@ -209,6 +209,52 @@ def test_document_is_complete_json(clean):
     assert demand == sorted(demand, reverse=True)
 
 
+def test_document_agrees_with_the_single_reports(clean):
+    row = insights.insights_document(clean).first().asDict(recursive=True)
+    for name, report in {
+        "vehicle_insights": insights.vehicle_highlights,
+        "hourly_insights": insights.hourly_highlights,
+        "time_period_insights": insights.time_period_highlights,
+        "location_insights": insights.location_highlights,
+        "route_insights": insights.route_highlights,
+        "payment_insights": insights.payment_highlights,
+        "cancellation_insights": insights.cancellation_insights,
+        "incomplete_insights": insights.incomplete_insights,
+        "rating_insights": insights.rating_insights,
+        "revenue_insights": insights.revenue_insights,
+        "executive_kpis": reports.insight_kpis,
+    }.items():
+        alone = report(clean).first().asDict(recursive=True)
+        assert {k: row[name][k] for k in alone} == alone, name
+    places = [r.asDict() for r in insights.location_insights(clean).collect()]
+    assert row["location_insights"]["top_pickup_locations"] == places
+    findings = [r.Finding for r in insights.key_findings(clean).orderBy("Position").collect()]
+    assert row["key_findings"] == findings
+
+
+def test_document_reads_the_table_once_per_section(clean):
+    document = insights.insights_document(clean)
+    document.collect()
+    final = plan(document).split("Initial Plan")[0]
+    assert final.count("Scan parquet") <= 10 * 2
+
+
+def test_markdown_with_model_scores(spark, clean):
+    scores = [(n, 0.5) for n in dashboard.METRIC_NAMES]
+    metrics = spark.createDataFrame(scores, "Metric string, Score double")
+    importance = spark.createDataFrame([("a", 0.25), ("b", 0.75)], "Feature string, Importance double")
+    page = insights.insights_markdown(clean, metrics, importance).orderBy("Line").collect()
+    lines = [r.Text for r in page]
+    assert "- Accuracy: **0.5**" in lines and lines[-2:] == ["- b: 0.75", "- a: 0.25"]
+    row = insights.insights_document(clean, metrics, importance).first()
+    assert row.ai_insights.model_metrics["ROC-AUC"] == 0.5
+    assert [f.feature for f in row.ai_insights.top_predictive_features] == ["b", "a"]
+
+
+def test_recommendations_are_numbered(clean):
+    assert insights.recommendations(clean).count() == 7
+
+
 def test_sample_is_repeatable_and_of_exact_size(clean):
     pick = lambda n: statistics.fixed_size_sample(
         clean, ["Ride Distance", "Booking Value"], statistics.hash_order(ROW_KEY), n)
