@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from ridelens.llm import packing
+from ridelens.llm import exact_dedup, mixing, packing
 
 QUERIES = {
+    "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_packing": packing.op3_packing,
+    "op4_mixing": mixing.op4_mixing,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op4_mixing": mixing.OP4_SQL,
+}

@@ -39,3 +39,18 @@ def crc32_mod(column: Column, by: int) -> Column:
 def held_out(column: Column) -> Column:
     """Rows kept out of every training: crc32(id as text) mod 4 is 2. A missing id is held out."""
     return F.coalesce(crc32_mod(column, 4) == 2, F.lit(True))
+
+
+def literal_table(
+    spark: SparkSession, rows: list[tuple[int | float | None, ...]], schema: str
+) -> DataFrame:
+    """A table of literal numbers; only for rows of a proven bound."""
+    fields = [f.strip().rsplit(" ", 1) for f in schema.split(",")]
+    columns = [F.col(name).cast(kind).alias(name) for name, kind in fields]
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(k).alias(n) for n, k in fields])
+    spelled = ", ".join(
+        "(" + ", ".join("NULL" if v is None else f"{v!r}" for v in row) + ")" for row in rows
+    )
+    names = ", ".join(f"`{name}`" for name, _ in fields)
+    return spark.sql(f"SELECT * FROM VALUES {spelled} AS t({names})").select(*columns)  # noqa: S608
