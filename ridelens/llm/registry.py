@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ridelens.llm import exact_dedup, mixing, packing
+from ridelens.llm import exact_dedup, mixing, packing, sharding
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_packing": packing.op3_packing,
     "op4_mixing": mixing.op4_mixing,
+    "op9_sharding": sharding.op9_sharding,
 }
 
 SQL = {
