@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from ridelens.llm import exact_dedup, mixing, packing, sharding
+from ridelens.llm import exact_dedup, mixing, packing, sharding, url_rules, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_packing": packing.op3_packing,
     "op4_mixing": mixing.op4_mixing,
+    "op5_warc": warc.op5_warc,
+    "op7_url_rules": url_rules.op7_url_rules,
     "op9_sharding": sharding.op9_sharding,
 }
 
 SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op4_mixing": mixing.OP4_SQL,
+    "op5_warc": warc.OP5_SQL,
+    "op7_url_rules": url_rules.OP7_SQL,
 }
