@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ridelens.llm.tables import literal_table, stored, table
+from ridelens.llm.tables import count_at_most, literal_table, sortable, stored, table
 
 SHARDS = 16
 #: Ranges that the first boundaries make; a range is subdivided beyond twice the mean.
@@ -28,36 +28,14 @@ SAMPLES = 32
 LARGE = 0.01
 
 
-def _sortable(number: Column) -> Column:
-    """A long as sixteen characters that sort like the long."""
-    return F.lpad(F.hex(number.bitwiseXOR(F.lit(-(2**63)))), 16, "0")
-
-
 def _position() -> Column:
     """Order of records: small groups by text hash, then large groups by hash and id."""
-    large = F.concat(F.lit("1"), _sortable(F.col("_key")), _sortable(F.col("_id")))
+    large = F.concat(F.lit("1"), sortable(F.col("_key")), sortable(F.col("_id")))
     return F.when(F.col("_big"), large).otherwise(
-        F.concat(F.lit("0"), _sortable(F.col("_key")), F.lit("0" * 16))
+        F.concat(F.lit("0"), sortable(F.col("_key")), F.lit("0" * 16))
     )
 
 
-def _range_of(splitters: list[str]) -> Column:
-    """Number of splitters at or below the record's position, found in two steps."""
-    if not splitters:
-        return F.lit(0)
-    step = max(1, int(len(splitters) ** 0.5))
-    parts = [splitters[i : i + step] for i in range(0, len(splitters), step)]
-    place = F.col("_at")
-
-    def below(values: Column) -> Column:
-        return F.size(F.filter(values, lambda s: s <= place))
-
-    coarse = below(F.split(F.lit(",".join(p[0] for p in parts)), ","))
-    inner = F.split(F.lit(";".join(",".join(p) for p in parts)), ";")
-    inside = below(F.split(F.element_at(inner, F.greatest(coarse, F.lit(1))), ","))
-    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + inside).cast("int")
-
-
 def _splitters(rows: DataFrame, total: int, ranges: int) -> list[str]:
     """Boundaries so that no range holds over twice the mean beside its largest record.
 
@@ -65,7 +43,7 @@ def _splitters(rows: DataFrame, total: int, ranges: int) -> list[str]:
     """
     mean, found, turn = max(1, total / ranges), [], 0
     while True:
-        ranged = rows.withColumn("_range", _range_of(found))
+        ranged = rows.withColumn("_range", count_at_most(F.col("_at"), found))
         sizes = ranged.groupBy("_range").agg(
             (F.sum("size") - F.max("size")).alias("bytes"),
             (F.min("_at") != F.max("_at")).alias("divisible"),
@@ -188,7 +166,7 @@ def assign_shards(
         "grouped",
     )
     group = F.when(F.col("_big"), F.col("_key")).otherwise(0)
-    ranged = rows.withColumn("_range", _range_of(_splitters(rows, total, ranges)))
+    ranged = rows.withColumn("_range", count_at_most(F.col("_at"), _splitters(rows, total, ranges)))
     ranged = ranged.withColumn("_group", group)
     segments = (
         ranged.groupBy("_big", "_range", "_group")

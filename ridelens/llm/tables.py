@@ -54,3 +54,28 @@ def literal_table(
     )
     names = ", ".join(f"`{name}`" for name, _ in fields)
     return spark.sql(f"SELECT * FROM VALUES {spelled} AS t({names})").select(*columns)  # noqa: S608
+
+
+def sortable(number: Column) -> Column:
+    """A long as sixteen characters that sort like the long."""
+    return F.lpad(F.hex(number.bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+
+
+def count_at_most(value: Column, splitters: list[str]) -> Column:
+    """How many of the sorted ``splitters`` (without commas) are at or below ``value``.
+
+    Looked up in two steps, among every so-many-th of them and then between two of
+    those; the splitters are one constant of the expression.
+    """
+    if not splitters:
+        return F.lit(0)
+    step = max(1, int(len(splitters) ** 0.5))
+    parts = [splitters[i : i + step] for i in range(0, len(splitters), step)]
+
+    def below(values: Column) -> Column:
+        return F.size(F.filter(values, lambda s: s <= value))
+
+    coarse = below(F.split(F.lit(",".join(p[0] for p in parts)), ","))
+    inner = F.split(F.lit(";".join(",".join(p) for p in parts)), ";")
+    inside = below(F.split(F.element_at(inner, F.greatest(coarse, F.lit(1))), ","))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + inside).cast("int")
