@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ridelens.llm import exact_dedup, fingerprints, mixing, packing, sharding, url_rules, warc
+from ridelens.llm import exact_dedup, fingerprints, mixing, packing, quality, sharding, url_rules, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_warc": warc.op5_warc,
     "op7_url_rules": url_rules.op7_url_rules,
+    "op8_quality": quality.op8_quality,
     "op9_sharding": sharding.op9_sharding,
     "op10_fingerprints": fingerprints.op10_fingerprints,
 }

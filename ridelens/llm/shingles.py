@@ -23,7 +23,7 @@ class _Hashes(dict):
         return value
 
 
-_HASHES = _Hashes()
+HASHES = _Hashes()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -37,7 +37,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(text: str | None) -> np.ndarray:
     words = _WORD.findall((text or "").lower())
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
 
 def shingles_of_words(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
