@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ridelens.llm import exact_dedup, fingerprints, mixing, packing, quality, sharding, url_rules, warc
+from ridelens.llm import exact_dedup, fingerprints, language_crf, mixing, packing, quality, sharding, url_rules, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_language_crf": language_crf.op2_language_crf,
     "op3_packing": packing.op3_packing,
     "op4_mixing": mixing.op4_mixing,
     "op5_warc": warc.op5_warc,
