@@ -373,8 +373,8 @@ def train(
         return pd.DataFrame({"model": [model.to_bytes()]})
 
     made = (
-        sample.select("_id", "_lang", "_text", order.alias("_order"))
-        .groupBy(F.lit(0))
+        sample.select("_id", "_lang", "_text", order.alias("_order"), F.lit(1).alias("_one"))
+        .groupBy("_one")
         .applyInPandas(learn, "model binary")
         .collect()
     )
