@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from ridelens.llm import exact_dedup, fingerprints, language_crf, mixing, packing, quality, sharding, url_rules, warc
+from ridelens.llm import (
+    dart_minhash,
+    exact_dedup,
+    fingerprints,
+    language_crf,
+    mixing,
+    packing,
+    quality,
+    sharding,
+    url_rules,
+    warc,
+)
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +21,7 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_mixing": mixing.op4_mixing,
     "op5_warc": warc.op5_warc,
+    "op6_dart_minhash": dart_minhash.op6_dart_minhash,
     "op7_url_rules": url_rules.op7_url_rules,
     "op8_quality": quality.op8_quality,
     "op9_sharding": sharding.op9_sharding,
@@ -20,5 +32,6 @@ SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op4_mixing": mixing.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
+    "op6_dart_minhash": dart_minhash.op6_dart_minhash,
     "op7_url_rules": url_rules.OP7_SQL,
 }
