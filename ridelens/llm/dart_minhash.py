@@ -309,7 +309,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """The documents that stay, one of each class, with all their columns."""
     lost = near_duplicates(docs, id_col=id_col, text_col=text_col).filter(~F.col("kept"))
     lost = lost.select(F.col("doc_id").alias("_lost"))
-    return docs.join(lost, docs[id_col] == F.col("_lost"), "left_anti")
+    return docs.join(lost, docs[id_col] == lost["_lost"], "left_anti")
 
 
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,7 +114,7 @@ def without_duplicates(
     """The documents that stay, with all their columns. Documents are told apart by id."""
     lost = exact_duplicates(docs, id_col=id_col, text_col=text_col).filter(~F.col("kept"))
     lost = lost.select(F.col("doc_id").alias("_lost"))
-    return docs.join(lost, docs[id_col].cast("bigint").eqNullSafe(F.col("_lost")), "left_anti")
+    return docs.join(lost, docs[id_col].cast("bigint").eqNullSafe(lost["_lost"]), "left_anti")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,7 +56,7 @@ def rake(
     rounds: int = ROUNDS,
     targets: Mapping[str, Mapping[str, float]] | None = None,
 ) -> DataFrame:
-    """``cells`` (source, lang, topic, tokens) with ``probability``.
+    """``cells`` (source, lang, topic, tokens) with ``_mix_probability``.
 
     Wanted totals per marginal: shares of ``keep`` times all tokens, in proportion to
     the square root of the tokens that a value has, or to ``targets[dimension]`` where
@@ -94,7 +94,7 @@ def rake(
             )
         out = out.withColumn("_w", F.least("_w", tokens))
     share = F.coalesce(F.try_divide(F.col("_w"), tokens), F.lit(keep))
-    return out.select(*cells.columns, F.round(share, 6).alias("probability"))
+    return out.select(*cells.columns, F.round(share, 6).alias("_mix_probability"))
 
 
 def _with_cells(docs: DataFrame, topic: Column | None) -> DataFrame:
@@ -121,17 +121,17 @@ def mix(
     seed: str = SEED,
     targets: Mapping[str, Mapping[str, float]] | None = None,
 ) -> DataFrame:
-    """``docs`` with _mix_source, _mix_lang, _mix_topic, _mix_tokens, probability, kept.
+    """``docs`` with _mix_source, _mix_lang, _mix_topic, _mix_tokens, _mix_probability and
+    _mix_kept.
 
     Reads doc_id, text, source and lang; ``topic`` is any column expression, by default
     ``topic_of`` the text. A null source or language counts as the empty one, a null
     text as empty. A cell without tokens keeps its documents with probability ``keep``.
     Rows that repeat an id share their fate; a null id is sampled like an id of no
-    characters. Columns named ``_mix_...`` are replaced, and so are ``probability`` and
-    ``kept``. Empty in, empty out. The cell table is written to the shared folder, so
+    characters. Columns named ``_mix_...`` are replaced. Empty in, empty out. The cell table is written to the shared folder, so
     its size is known when Spark chooses the join back.
     """
-    rows = _with_cells(docs.drop("probability", "kept"), topic)
+    rows = _with_cells(docs, topic)
     cells = rows.groupBy(
         F.col("_mix_source").alias("source"),
         F.col("_mix_lang").alias("lang"),
@@ -142,11 +142,17 @@ def mix(
         F.col("source").alias("_mix_source"),
         F.col("lang").alias("_mix_lang"),
         F.col("topic").alias("_mix_topic"),
-        "probability",
+        "_mix_probability",
     )
     joined = rows.join(chances, ["_mix_source", "_mix_lang", "_mix_topic"])
     point = sampling_point(F.col("doc_id"), seed)
-    return joined.select(*rows.columns, "probability", (point < F.col("probability")).alias("kept"))
+    kept = (point < F.col("_mix_probability")).alias("_mix_kept")
+    return joined.select(*rows.columns, "_mix_probability", kept)
+
+
+def sampled(docs: DataFrame, **options) -> DataFrame:
+    """The documents that ``mix`` keeps, with all their columns."""
+    return mix(docs, **options).filter("_mix_kept").select(*docs.columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,8 +163,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_mix_lang").alias("lang"),
         F.col("_mix_topic").alias("topic"),
         F.col("_mix_tokens").alias("tokens"),
-        "probability",
-        "kept",
+        F.col("_mix_probability").alias("probability"),
+        F.col("_mix_kept").alias("kept"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from ridelens.llm import (
     dart_minhash,
     exact_dedup,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_sharding": sharding.op9_sharding,
     "op10_fingerprints": fingerprints.op10_fingerprints,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
