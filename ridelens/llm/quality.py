@@ -27,7 +27,7 @@ BITS = 18
 #: Most labelled documents that training reads, drawn by a hash of their id.
 MOST_LABELLED = 12_000
 #: Parts of the sample that are trained side by side.
-PARTS = 4
+PARTS = 2
 EPOCHS = 3
 #: Largest distance of two equal words that counts as a repetition.
 AGAIN = 4
