@@ -456,10 +456,10 @@ def statements() -> dict[str, str]:
         "SELECT DISTINCT \"Vehicle Type\" FROM clean WHERE \"Vehicle Type\" IS NOT NULL")
     demand_names = [*SHORT, *SHORT_RATES]
     o["reindex_spine"] = on_clean(on_days(
-        grouped(["Day_Name"], SHORT, SHORT_RATES, where='"Day_of_Week" < 5'), demand_names))
+        grouped(["Day_Name"], SHORT, SHORT_RATES), demand_names))
     o["zero_fill_buckets"] = on_clean(
-        bucket_report("(SELECT * FROM clean WHERE \"Ride Distance\" <= 30)"))
-    o["resample_spine"] = on_clean(daily("(SELECT * FROM clean WHERE \"Hour\" = 3)"))
+        bucket_report("clean"))
+    o["resample_spine"] = on_clean(daily("clean"))
 
     # reports
     labels = ["Total Bookings", "Completed Bookings", "Cancelled Bookings", "Incomplete Bookings",
@@ -579,8 +579,8 @@ def statements() -> dict[str, str]:
         f"{rnd('lo + w * i', 6)} AS \"Upper\", coalesce(n, 0) AS \"Count\" FROM range(1, 26) r(i) "
         "CROSS JOIN w LEFT JOIN h ON bin = i")
     o["histogram_rating"] = on_clean(
-        f", h AS (SELECT least(cast(floor((cast(round({dr} * 10) AS int) - 30) / 2) AS int) + 1, 10) "
-        f"AS bin, count(*) AS n FROM {done} WHERE {dr} BETWEEN 3 AND 5 GROUP BY 1) SELECT cast(i AS "
+        f", h AS (SELECT greatest(least(cast(floor((cast(round({dr} * 10) AS int) - 30) / 2) AS int) + 1, 10), "
+        f"1) AS bin, count(*) AS n FROM {done} WHERE {dr} IS NOT NULL GROUP BY 1) SELECT cast(i AS "
         "int) AS \"Bin\", round(3 + 0.2 * (i - 1), 6)::double AS \"Lower\", round(3 + 0.2 * i, "
         "6)::double AS \"Upper\", coalesce(n, 0) AS \"Count\" FROM range(1, 11) r(i) LEFT JOIN h ON "
         "bin = i")
@@ -735,6 +735,10 @@ def statements() -> dict[str, str]:
         ("nb_top_drops", "Drop Location", "ORDER BY \"Bookings\" DESC, 1 LIMIT 10"),
     ):
         o[name] = on_alt(counts(key, "alt", tail))
+    o["nb_customer_reasons"] = on_alt(reasons(*by_customer, source="alt"))
+    o["nb_hourly"] = on_alt(counts("Hour", "alt", ""))
+    o["nb_daily"] = on_alt(counts("Day_Name", "alt", ""))
+    o["sort_by_time"] = on_clean(f"SELECT {KEY}, \"DateTime\" FROM clean ORDER BY ALL")
     o["nb_driver_reasons"] = on_alt(reasons(*by_driver, source="alt"))
     frac6 = lambda c: rnd(f"{flag_sum(c)} / cast(count(*) AS double)", 6)
     number = lambda x: f"cast({x} AS double)"

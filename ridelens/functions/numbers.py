@@ -23,13 +23,25 @@ def to_double(col: Column) -> Column:
 def exact_sum(col: Column) -> Column:
     """Sum of a double column that does not depend on row order; 0 for no values.
 
-    Values are added in fixed point at six decimals. ``rint`` and the cast to
-    long stay cheap per row (a direct double-to-decimal cast formats text), and
-    the decimal accumulator cannot overflow at any realistic row count. A single
-    value of 9.2e12 or more is an error, not a wrong sum.
+    Values are added in fixed point, in two parts: millionths, and what those leave in
+    steps of 1e-18. Both are longs in decimal accumulators, which stay cheap per row (a
+    direct double-to-decimal cast formats text). Values of 9e12 or more are added as
+    decimals, and those of 1e25 or more, which no decimal sum holds, as doubles.
     """
-    micros = F.sum(F.rint(col * F.lit(_MICRO)).cast("long").cast("decimal(20,0)"))
-    return F.coalesce(micros.cast("double") / F.lit(float(_MICRO)), F.lit(0.0))
+    size = F.abs(col)
+    millionths = F.rint(col * F.lit(_MICRO))
+    rest = F.rint((col - millionths / F.lit(_MICRO)) * F.lit(1e18))
+    small, large = size < 9e12, (size >= 9e12) & (size < 1e25)
+    parts = [
+        F.sum(F.when(small, millionths).cast("long").cast("decimal(20,0)")).cast("double") / F.lit(float(_MICRO)),
+        F.sum(F.when(small, rest).cast("long").cast("decimal(20,0)")).cast("double") / F.lit(1e18),
+        F.sum(F.when(large, col).cast("decimal(28,3)")).cast("double"),
+        F.sum(F.when(~(small | large), col)),
+    ]
+    total = F.lit(0.0)
+    for part in parts:
+        total = total + F.coalesce(part, F.lit(0.0))
+    return total
 
 
 def exact_mean(col: Column) -> Column:
@@ -38,8 +50,13 @@ def exact_mean(col: Column) -> Column:
 
 
 def round_half_up(col: Column, digits: int) -> Column:
-    """Round on the decimal spelling, so 1.005 gives 1.01 in every engine."""
-    return F.round(col.cast("decimal(38,10)"), digits).cast("double")
+    """Round on the decimal spelling, so 1.005 gives 1.01 in every engine.
+
+    The spelling is taken to ten digits after the point; values of 1e15 or more have
+    fewer and are rounded as they are.
+    """
+    spelled = F.when(F.abs(col) < 1e15, col).cast("decimal(38,10)")
+    return F.coalesce(F.round(spelled, digits).cast("double"), F.round(col, digits))
 
 
 def percent(part: Column, whole: Column) -> Column:

@@ -78,13 +78,17 @@ def histogram_equal_width(df: DataFrame, column: str, bins: int = 25) -> DataFra
 def histogram_fixed(
     df: DataFrame, column: str, low: float, high: float, bins: int
 ) -> DataFrame:
-    """``histogram_equal_width`` over a stated range; values outside are left out."""
+    """``histogram_equal_width`` over a stated range.
+
+    Values outside it are counted in the first or the last bin, so no row is lost.
+    """
     width = (high - low) / bins
     x = F.col(column)
     # a hair is added so that a bound such as 3.6 falls in the bin it opens
-    index = F.least(F.floor((x - low) / width + 1e-9) + 1, F.lit(bins)).cast("int")
+    place = F.floor((x - low) / width + 1e-9) + 1
+    index = F.greatest(F.least(place, F.lit(bins)), F.lit(1)).cast("int")
     counts = (
-        df.filter(x.between(low, high))
+        df.filter(x.isNotNull())
         .select(index.alias("Bin"))
         .groupBy("Bin")
         .agg(F.count("*").alias("n"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -78,8 +78,9 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A folder of its own for each call, so a result that is still read is never replaced."""
     app = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/ridelens/{app}/out-{sf_dir.rstrip('/').split('/')[-1]}/{name}"
+    return f"{shared_folder(spark)}/ridelens/{app}/out-{uuid.uuid4().hex}/{name}"
 
 
 def read_raw_bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,15 +259,12 @@ def _imputation(operator, columns):
     return run
 
 
-# Trees and depth of the registered trainings. The specs in ``models`` hold the full
-# sizes (200 x 16, 200 x 18, 300 x 30); every training here runs on all training rows.
-QUICK = {"trees": 20, "depth": 8}
 _MODELS: dict[tuple[str, str, str], PipelineModel] = {}
 
 
 def _model(spark: SparkSession, sf_dir: str, name: str) -> tuple[PipelineModel, DataFrame]:
     """A fitted model, trained once per session, and its test rows."""
-    spec = replace(getattr(models, name), **QUICK)
+    spec = getattr(models, name)
     source = silver_alternative if name == "NOTEBOOK" else silver
     train, test = _train_test(source(spark, sf_dir), spec)
     key = (spark.sparkContext.applicationId, sf_dir, name)
@@ -436,14 +434,14 @@ def queries() -> dict[str, Query]:
         ),
         "reindex_spine": on_silver(
             lambda df: reports.on_weekday_spine(
-                reports.demand_by(df.filter("Day_of_Week < 5"), "Day_Name")
+                reports.demand_by(df, "Day_Name")
             )
         ),
         "zero_fill_buckets": on_silver(
-            lambda df: statistics.distance_buckets(df.filter(F.col("Ride Distance") <= 30))
+            lambda df: statistics.distance_buckets(df)
         ),
         "resample_spine": on_silver(
-            lambda df: statistics.daily_revenue(df.filter(F.col("Hour") == 3))
+            lambda df: statistics.daily_revenue(df)
         ),
         # reports
         "executive_kpis": on_silver(reports.executive_kpis),
@@ -619,6 +617,14 @@ def queries() -> dict[str, Query]:
         "nb_driver_reasons": on_alternative(
             lambda df: dashboard.driver_reasons(df, also=("None",))
         ),
+        "nb_customer_reasons": on_alternative(
+            lambda df: dashboard.customer_reasons(df, also=("None",))
+        ),
+        "nb_hourly": on_alternative(lambda df: variants.value_counts(df, "Hour")),
+        "nb_daily": on_alternative(lambda df: variants.value_counts(df, "Day_Name")),
+        "sort_by_time": on_silver(
+            lambda df: cleaning.sort_by_time(df, ROW_KEY).select(*_key_and("DateTime"))
+        ),
         "nb_kpis": on_alternative(variants.kpis),
         "nb_monthly_revenue": on_alternative(variants.monthly_revenue),
         "nb_revenue_by_vehicle": on_alternative(variants.revenue_by_vehicle),

@@ -54,10 +54,21 @@ NUMERIC_COLUMNS = [
 TEXT_COLUMNS = [c for c in RAW_COLUMNS if c not in NUMERIC_COLUMNS]
 ID_COLUMNS = ["Booking ID", "Customer ID"]
 
-# Columns whose gaps depend on the booking status.
+# Columns whose gaps depend on the booking status.
 STATUS_DEPENDENT_COLUMNS = [
-    c for c in RAW_COLUMNS if c in NUMERIC_COLUMNS or c.endswith("Reason")
-    or c.startswith("Reason") or c == "Payment Method"
+    "Avg VTAT",
+    "Avg CTAT",
+    "Cancelled Rides by Customer",
+    "Reason for cancelling by Customer",
+    "Cancelled Rides by Driver",
+    "Driver Cancellation Reason",
+    "Incomplete Rides",
+    "Incomplete Rides Reason",
+    "Booking Value",
+    "Ride Distance",
+    "Driver Ratings",
+    "Customer Rating",
+    "Payment Method",
 ]
 
 COMPLETED = "Completed"

@@ -39,16 +39,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread an input of few splits over the cores.
-
-    Only an input with fewer splits than cores is moved, so the shuffle is
-    bounded by a few splits; a large input is left where it is read.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def _pick(index: Column, labels: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in labels]), (index + 1).cast("int"))
 
@@ -61,9 +51,7 @@ def _tenths(n: Column) -> Column:
 
 def bookings_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 21 text columns as a raw export would spell them, plus ``ROW_KEY``."""
-    line = _spread(
-        _table(spark, sf_dir, "lineitem").select(*ROW_KEY, "l_quantity", "l_discount"), *ROW_KEY
-    )
+    line = _table(spark, sf_dir, "lineitem").select(*ROW_KEY, "l_quantity", "l_discount")
     orders = _table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"
     )

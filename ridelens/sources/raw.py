@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,22 +78,31 @@ def read_clean_bookings_csv(
     return rows.select(*typed)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether ``path`` exists in whatever file system it names."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    return hadoop_path.getFileSystem(conf).exists(hadoop_path)
+def _readable(df: DataFrame) -> bool:
+    """Whether the files can be parsed at all; a report is small."""
+    try:
+        df.isEmpty()
+    except PySparkException:
+        return False
+    return True
 
 
 def read_optional_report(
     spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv"
 ) -> DataFrame:
-    """A CSV or JSON report; no rows if the path is absent."""
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], schema)
-    reader = spark.read.schema(schema)
-    if fmt == "csv":
-        return reader.option("header", True).option("escape", '"').csv(path)
-    if fmt == "json":
-        return reader.json(path)
-    raise ValueError(f"unknown report format: {fmt}")
+    """A CSV or JSON report; no rows if the path is absent or holds no such report.
+
+    JSON may be indented. A document that is not JSON, or an empty file, gives no rows.
+    """
+    if fmt not in ("csv", "json"):
+        raise ValueError(f"unknown report format: {fmt}")
+    absent = spark.createDataFrame([], schema)
+    try:
+        if fmt == "csv":
+            found = spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+        else:
+            reader = spark.read.schema(schema).option("multiLine", True)
+            found = reader.option("mode", "DROPMALFORMED").json(path)
+        return found if _readable(found) else absent
+    except AnalysisException:  # no such path
+        return absent
