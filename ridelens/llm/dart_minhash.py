@@ -10,10 +10,11 @@ rank until every coordinate has a dart, so a signature costs about ``k log k`` d
 however long the document is.
 
 Signatures are cut into bands; documents that share a band are candidates, and each
-candidate pair is decided by its exact similarity. A bucket is not paired out: its
-members are compared with a pivot first. Where a bucket still has several classes it
-gets more pivots, and at last its remaining pairs between different classes are
-compared, so no link between candidates is lost.
+candidate pair is decided by its exact similarity. A bucket is not paired out. Its
+members are compared with one pivot first, the member that shares most buckets with
+others. Afterwards only members of different classes can still be unlinked, and of
+those only pairs pass whose odd sketches allow the similarity: the sketches' differing
+bits never outnumber the differing shingles, so no link between candidates is lost.
 """
 
 from __future__ import annotations
@@ -34,11 +35,12 @@ from ridelens.llm.tables import stored, table
 
 SIMILARITY = 0.8
 BANDS, ROWS = 28, 5
-#: Pivots per bucket and round; after them, all pairs between classes that are left.
-PIVOTS = (4, 16, 64)
+#: Longs in an odd sketch, of 64 bits each.
+SKETCH = 32
 _FIRST_RANK = 0.25
 _MOST_PER_REGION = 32.0
 _DARTS_AT_ONCE = 2_000_000
+_TEXTS_AT_ONCE = 500
 
 
 @cache
@@ -133,12 +135,22 @@ def weighted_shingles(
     return found, (np.ones(len(found)) if weights == "set" else counts.astype(np.float64))
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two documents with shingles; 0 if one has none."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = np.minimum(a[1][i], b[1][j]).sum()
-    either = a[1].sum() + b[1].sum() - both
-    return float(both / either) if either else 0.0
+def expanded(found: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A set whose Jaccard similarities are those of the whole-numbered weights: an
+    element of weight n becomes n elements."""
+    if not len(found) or weights.max() <= 1:
+        return found
+    n = weights.astype(np.int64)
+    turn = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    several = mixed(np.repeat(found, n) + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return np.unique(np.where(turn == 0, np.repeat(found, n), several))
+
+
+def odd_sketch(elements: np.ndarray) -> np.ndarray:
+    """``SKETCH`` longs; bit i tells whether the number of elements in block i is odd."""
+    block = (mixed(elements) >> np.uint64(48)).astype(np.int64) % (SKETCH * 64)
+    odd = (np.bincount(block, minlength=SKETCH * 64) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
 
 
 def signed(docs: DataFrame, *, words: int = WORDS, weights: str = "set") -> DataFrame:
@@ -177,59 +189,106 @@ def signed(docs: DataFrame, *, words: int = WORDS, weights: str = "set") -> Data
     return docs.mapInArrow(sign, fields)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, weights: str, least: float) -> DataFrame:
-    """The pairs (u, v) whose texts are at least ``least`` similar."""
+def _prepared(docs: DataFrame, words: int, weights: str) -> DataFrame:
+    """(id, n, sketch, elements) of ``docs`` (id, text): what comparisons need."""
+    fields = T.StructType(
+        [
+            docs.schema["id"],
+            T.StructField("n", T.LongType()),
+            T.StructField("sketch", T.ArrayType(T.LongType())),
+            T.StructField("elements", T.ArrayType(T.LongType())),
+        ]
+    )
+
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), _TEXTS_AT_ONCE):
+                part = batch.slice(at, _TEXTS_AT_ONCE)
+                sets = [
+                    expanded(*weighted_shingles(t.as_py(), words, weights)) for t in part.column("text")
+                ]
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("id"),
+                        pa.array([len(x) for x in sets], pa.int64()),
+                        pa.array([odd_sketch(x) for x in sets], longs),
+                        pa.array([x.view(np.int64) for x in sets], longs),
+                    ],
+                    names=fields.names,
+                )
+
+    return docs.select("id", "text").mapInArrow(prepare, fields)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) whose elements are at least ``least`` similar."""
     fields = T.StructType([pairs.schema["u"], pairs.schema["v"]])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[object, tuple] = {}
         for batch in batches:
-            keep = []
-            columns = [batch.column(c) for c in ("u", "u_text", "v_text")]
-            for u, u_text, v_text in zip(*columns, strict=True):
-                u = u.as_py()
-                # A pivot's pairs come together; a repeated id has several texts.
-                text = u_text.as_py()
-                if (u, len(text)) not in known:
-                    if len(known) >= 16:
-                        known.clear()
-                    known[u, len(text)] = (text, weighted_shingles(text, words, weights))
-                same, mine = known[u, len(text)]
-                if same != text:
-                    mine = weighted_shingles(text, words, weights)
-                other = weighted_shingles(v_text.as_py(), words, weights)
-                keep.append(similarity(mine, other) >= least)
+            keep, held = [], []
+            for name in ("a", "b"):
+                lists = batch.column(name)
+                held.append((lists.values.to_numpy(), lists.offsets.to_numpy()))
+            (a, a_at), (b, b_at) = held
+            for i in range(len(batch)):
+                x, y = a[a_at[i] : a_at[i + 1]], b[b_at[i] : b_at[i + 1]]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
             rows = pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"])
             yield rows.filter(pa.array(keep, pa.bool_()))
 
-    of_v = texts.select(F.col("id").alias("v"), F.col("text").alias("v_text"))
-    of_u = texts.select(F.col("id").alias("u"), F.col("text").alias("u_text"))
+    of_v = sets.select(F.col("id").alias("v"), F.col("elements").alias("b"))
+    of_u = sets.select(F.col("id").alias("u"), F.col("elements").alias("a"))
     both = pairs.join(of_v, "v").join(of_u, "u")
-    return both.select("u", "v", "u_text", "v_text").mapInArrow(compare, fields)
+    return both.select("u", "v", "a", "b").mapInArrow(compare, fields)
 
 
-def _pairs_with_pivots(rows: DataFrame, pivots: int, turn: int) -> DataFrame:
-    """Each member of a bucket with its pivots of another class; (u, v) with u the pivot."""
-    slot = F.pmod(F.xxhash64("class", F.lit(turn)), F.lit(pivots))
-    chosen = rows.groupBy("key", slot.alias("slot")).agg(
-        F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("u"), F.col("class").alias("of"))).alias("p")
+def _first_pairs(members: DataFrame) -> DataFrame:
+    """Each member of a bucket with the bucket's pivot; (u, v) with u the pivot."""
+    weight = members.groupBy("id").agg(F.sum("n").alias("weight"))
+    pivots = members.join(weight, "id").groupBy("key").agg(
+        F.max(F.struct("weight", F.xxhash64("id").alias("h"), F.col("id").alias("u"))).alias("p")
     )
-    joined = rows.join(chosen.select("key", "p.u", "p.of"), "key").filter(F.col("class") != F.col("of"))
+    joined = members.join(pivots.select("key", "p.u"), "key").filter(F.col("u") != F.col("id"))
     return joined.select("u", F.col("id").alias("v")).distinct()
 
 
-def _several_classes(members: DataFrame, labels: DataFrame, least_rows: int) -> DataFrame:
-    """The rows, with their class, of buckets that still have more than one class."""
-    rows = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
+def _open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs of a bucket's members in different classes that may still be similar enough."""
+    rows = members.filter("n > 2").join(labels.withColumnRenamed("node", "id"), "id", "left").select(
         "key", "id", F.coalesce("class", "id").alias("class")
     )
-    mixed_ = (
+    several = (
         rows.groupBy("key")
-        .agg(F.count("*").alias("n"), F.min("class").alias("a"), F.max("class").alias("b"))
-        .filter((F.col("n") >= least_rows) & (F.col("a") != F.col("b")))
+        .agg(F.min("class").alias("a"), F.max("class").alias("b"))
+        .filter(F.col("a") != F.col("b"))
         .select("key")
     )
-    return rows.join(mixed_, "key")
+    mine = rows.join(several, "key").join(sets.select("id", F.col("n").alias("size"), "sketch"), "id")
+    other = mine.select(
+        "key",
+        F.col("id").alias("u"),
+        F.col("class").alias("of"),
+        F.col("size").alias("u_size"),
+        F.col("sketch").alias("u_sketch"),
+    )
+    differ = sum(
+        (F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("u_sketch")[i])) for i in range(SKETCH)),
+        F.lit(0),
+    )
+    # Similar enough means at most this many elements in just one of the two.
+    most = (F.col("size") + F.col("u_size")) * ((1 - least) / (1 + least)) + 1e-6
+    joined = mine.join(
+        other.withColumnRenamed("key", "k"),
+        (F.col("key") == F.col("k"))
+        & (F.col("class") != F.col("of"))
+        & (F.col("u") < F.col("id"))
+        & (F.abs(F.col("size") - F.col("u_size")) <= most)
+        & (differ <= most),
+    )
+    return joined.select("u", F.col("id").alias("v")).distinct()
 
 
 def near_duplicates(
@@ -263,26 +322,16 @@ def near_duplicates(
     # Documents of one shingle set are one node: its smallest id.
     nodes = table_.groupBy("digest").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands"))
     keys = nodes.select("id", F.explode("bands").alias("key")).distinct()
-    pivots = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
-    members = stored(keys.join(pivots, "key").select("key", "id", "pivot"), "members")
+    counts = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = stored(keys.join(counts, "key"), "members")
     wanted = members.select("id").distinct()
-    texts = stored(slim.join(wanted, "id", "left_semi"), "texts")
-
-    first = members.filter("id != pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v")).distinct()
-    repeated = led.filter("id != lead").join(led.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1"), "id")
-    same = repeated.select(F.col("lead").alias("u"), F.col("id").alias("v"))
-    labels = components(_verified(first, texts, words, weights, least).unionByName(same))
-    for turn, pivots_ in enumerate((*PIVOTS, None), 1):
-        rows = stored(_several_classes(members.select("key", "id"), labels, 3), "open")
-        if rows.isEmpty():
-            break
-        if pivots_ is None:
-            other = rows.select("key", F.col("id").alias("u"), F.col("class").alias("of"))
-            joined = rows.join(other, "key").filter((F.col("class") != F.col("of")) & (F.col("u") < F.col("id")))
-            pairs = joined.select("u", F.col("id").alias("v")).distinct()
-        else:
-            pairs = _pairs_with_pivots(rows, pivots_, turn)
-        links = _verified(pairs, texts, words, weights, least)
+    sets = stored(_prepared(slim.join(wanted, "id", "left_semi"), words, weights), "sets")
+
+    repeats = led.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    same = led.filter("id != lead").join(repeats, "id").select(F.col("lead").alias("u"), F.col("id").alias("v"))
+    labels = components(_verified(_first_pairs(members), sets, least).unionByName(same))
+    links = stored(_verified(_open_pairs(members, labels, sets, least), sets, least), "links")
+    if not links.isEmpty():
         old = labels.select(F.col("node").alias("u"), F.col("class").alias("v"))
         labels = components(links.unionByName(old))
 
