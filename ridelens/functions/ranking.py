@@ -13,6 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Parts that a bucket with a wanted rank is cut into.
+SLICES = 4096
+
 
 def magnitude_bucket(value: Column, per_unit: int = 256) -> Column:
     """Ordered integer bucket of a double, about 0.4 % of the value wide.
@@ -55,12 +58,18 @@ def value_counts_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def _holds_rank(start: str) -> Column:
+    return (F.col(start) <= F.col("high")) & (F.col(start) + F.col("n") > F.col("low"))
+
+
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
 ) -> DataFrame:
     """(column, probability, quantile): exact, linear between neighbours.
 
-    Only the buckets that hold a wanted rank are ordered.
+    Only the buckets that hold a wanted rank are looked at again. Such a bucket is cut
+    into ``SLICES`` equal parts of its own range, and only the part with the rank is
+    ordered, so a dense column does not gather in one task.
     """
     # Stating that the bucket is present keeps both uses of ``counts`` the same plan,
     # so that the counting runs once and its exchange is used twice.
@@ -71,22 +80,41 @@ def exact_quantiles(
     )
     probs = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
     rank = F.col("probability") * (F.col("n_total") - 1)
+    bounds = counts.groupBy("column", "bucket").agg(
+        F.min("value").alias("low_value"), F.max("value").alias("high_value")
+    )
     wanted = (
         bucket_starts(counts, ["column"], "bucket", ["n"])
         .withColumn("probability", probs)
         .withColumns({"rank": rank, "low": F.floor(rank), "high": F.ceil(rank)})
-        .filter(
-            (F.col("n_start") <= F.col("high")) & (F.col("n_start") + F.col("n") > F.col("low"))
-        )
-        .select("column", "bucket", "probability", "rank", "low", "high", "n_start")
+        .filter(_holds_rank("n_start"))
+        .join(bounds, ["column", "bucket"])
+        .drop("n", "n_total")
+    )
+    key = ["column", "bucket", "probability"]
+    part = F.try_divide(
+        F.col("value") - F.col("low_value"), F.col("high_value") - F.col("low_value")
+    )
+    slice_ = F.coalesce(F.floor(part * SLICES), F.lit(0)).alias("slice")
+    inside = counts.join(wanted.select(*key, "low_value", "high_value"), ["column", "bucket"])
+    inside = inside.select(*key, slice_, "value", "n")
+    earlier = Window.partitionBy(*key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = (
+        inside.groupBy(*key, "slice")
+        .agg(F.sum("n").alias("n"))
+        .withColumn("slice_start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        .join(wanted.select(*key, "rank", "low", "high", "n_start"), key)
+        .withColumn("slice_start", F.col("n_start") + F.col("slice_start"))
+        .filter(_holds_rank("slice_start"))
+        .select(*key, "slice", "rank", "low", "high", "slice_start")
     )
     within = (
-        Window.partitionBy("column", "bucket", "probability")
+        Window.partitionBy(*key, "slice")
         .orderBy("value")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    placed = counts.join(wanted, ["column", "bucket"]).withColumn(
-        "before", F.col("n_start") + F.coalesce(F.sum("n").over(within), F.lit(0))
+    placed = inside.join(slices, [*key, "slice"]).withColumn(
+        "before", F.col("slice_start") + F.coalesce(F.sum("n").over(within), F.lit(0))
     )
     hits = placed.filter(
         (F.col("before") <= F.col("high")) & (F.col("before") + F.col("n") > F.col("low"))

@@ -130,7 +130,9 @@ def train_forest(train: DataFrame, spec: ForestSpec) -> PipelineModel:
 
 def _train_forest(train: DataFrame, spec: ForestSpec) -> PipelineModel:
     prepared = fit_features(train, spec)
-    rows = prepared.transform(train)
+    # Every level of the trees is a pass over the rows: all cores should have a part.
+    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = prepared.transform(train).select(L.TARGET, "features").repartition(parts)
     forest = RandomForestClassifier(
         labelCol=L.TARGET,
         featuresCol="features",
@@ -140,6 +142,7 @@ def _train_forest(train: DataFrame, spec: ForestSpec) -> PipelineModel:
         featureSubsetStrategy="sqrt",
         seed=spec.seed,
         maxMemoryInMB=1024,
+        cacheNodeIds=True,
     )
     if spec.balanced:
         # One row per class.

@@ -5,13 +5,17 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ridelens import schema as S
+from ridelens.functions import numbers, ranking
 from ridelens.functions.ranking import exact_quantiles
 from ridelens.operators import (
     cleaning, dashboard, insights, learning_data, models, profiling, reports, scoring, statistics,
 )
+from ridelens.plans import catalog, layers
 from ridelens.plans.layers import bronze, materialise, shared_folder, silver
+from ridelens.sources import raw
 from ridelens.sources.derived import ROW_KEY
 
 
@@ -394,3 +398,47 @@ def test_materialised_table_is_built_once(spark, sf_dir):
     for _ in range(2):
         assert materialise(spark, "once", sf_dir, build).count() == 3
     assert len(calls) == 1
+
+
+@pytest.mark.parametrize("low, width", [(0.5, 0.0002), (1.7e9, 2e5), (-3.0, 6.0)])
+def test_quantiles_of_a_dense_column(spark, low, width):
+    n = 50_000
+    values = spark.range(n).select((F.lit(low) + F.col("id") * (width / n)).alias("v"))
+    got = {
+        r.probability: r.quantile
+        for r in ranking.exact_quantiles(values, ["v"], [0.0, 0.25, 0.5, 1.0]).collect()
+    }
+    ordered = sorted(r.v for r in values.collect())
+    for p, q in got.items():
+        at = p * (n - 1)
+        below, above = ordered[int(at)], ordered[min(n - 1, int(at) + 1)]
+        assert abs(q - (below + (above - below) * (at - int(at)))) <= 1e-9 * max(1, abs(q))
+
+
+def test_sums_of_any_size(spark):
+    frame = spark.createDataFrame([(1e-7,), (2e-7,), (3e-7,)], "v double")
+    assert abs(frame.agg(numbers.exact_mean(F.col("v"))).first()[0] - 2e-7) < 1e-20
+    for values in ([1e13, 0.5], [1e30, 1.0], [-9e12, 9e12, 0.25]):
+        frame = spark.createDataFrame([(v,) for v in values], "v double")
+        assert frame.agg(numbers.exact_sum(F.col("v"))).first()[0] == sum(values)
+
+
+def test_fixed_histogram_counts_all_values(spark):
+    frame = spark.createDataFrame([(2.5,), (3.1,), (4.0,), (None,)], "v double")
+    assert statistics.histogram_fixed(frame, "v", 3.0, 5.0, 10).agg(F.sum("Count")).first()[0] == 3
+
+
+def test_optional_json_report(spark, tmp_path):
+    schema = T.StructType.fromDDL("a long, b struct<c:string>")
+    cases = {"indented": '{\n    "a": 1,\n    "b": {\n        "c": "x"\n    }\n}', "empty": "", "broken": '{"a": 1,'}
+    for name, text in cases.items():
+        (tmp_path / name).write_text(text)
+        rows = raw.read_optional_report(spark, str(tmp_path / name), schema, "json").collect()
+        assert [r.asDict(True) for r in rows] == ([{"a": 1, "b": {"c": "x"}}] if name == "indented" else [])
+    assert raw.read_optional_report(spark, str(tmp_path / "absent"), schema, "json").collect() == []
+
+
+def test_two_folders_with_one_last_name(spark, sf_dir):
+    a, b = (catalog._scratch(spark, d, "x") for d in ("/a/sf0.1", "/b/sf0.1"))
+    assert a != b
+    assert layers.input_state(spark, sf_dir) == layers.input_state(spark, sf_dir + "/")
