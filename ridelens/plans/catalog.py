@@ -133,9 +133,17 @@ def export_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.read_clean_bookings_csv(spark, path, KEY_FIELDS)
 
 
+def _model_reports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return _metrics("PREBOOKING")(spark, sf_dir), _importance("PREBOOKING")(spark, sf_dir)
+
+
+def _document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.insights_document(silver(spark, sf_dir), *_model_reports(spark, sf_dir))
+
+
 def write_insights_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark, sf_dir, "insights_json")
-    document = insights.insights_document(silver(spark, sf_dir))
+    document = _document(spark, sf_dir)
     sinks.write_insights_json(document, path)
     back = raw.read_optional_report(spark, path, document.schema, "json")
     return back.select(F.col("dataset.rows").alias("rows"), "executive_kpis.*")
@@ -143,7 +151,8 @@ def write_insights_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_insights_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark, sf_dir, "insights_md")
-    sinks.write_insights_markdown(insights.insights_markdown(silver(spark, sf_dir)), path)
+    page = insights.insights_markdown(silver(spark, sf_dir), *_model_reports(spark, sf_dir))
+    sinks.write_insights_markdown(page, path)
     return spark.read.text(path)
 
 
@@ -578,10 +587,8 @@ def queries() -> dict[str, Query]:
         "rating_insights": on_silver(insights.rating_insights),
         "revenue_insights": on_silver(insights.revenue_insights),
         "key_findings": on_silver(insights.key_findings),
-        "insights_document": on_silver(
-            lambda df: insights.insights_document(df).select(
-                F.to_json(F.struct("*")).alias("document")
-            )
+        "insights_document": lambda s, d: _document(s, d).select(
+            F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("document")
         ),
         "insights_summary": on_alternative(insights.insights_summary),
         # dashboard
