@@ -24,7 +24,7 @@ _JOINED = 2000
 class WordEncoder:
     """``encode(text)`` gives little-endian unsigned 32-bit ids as bytes."""
 
-    def __init__(self, vocabulary: str, cached_words: int = 600_000):
+    def __init__(self, vocabulary: str, cached_words: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
