@@ -188,26 +188,26 @@ def duplicate_summary(df: DataFrame, column: str = "Booking ID") -> DataFrame:
     )
 
 
-def _with_group_size(df: DataFrame, column: str) -> DataFrame:
-    """Rows beside the size of their id group.
-
-    A join on counted ids, not a window: adaptive execution can split a very
-    frequent id in a join, while a window must gather it in one task.
-    """
-    sizes = _id_groups(df, column).withColumnRenamed(column, "_id")
-    return df.join(sizes, F.col(column).eqNullSafe(F.col("_id"))).drop("_id")
-
-
 def duplicate_id_report(df: DataFrame, column: str = "Booking ID") -> DataFrame:
-    """All rows whose id is not unique; missing ids form one group."""
+    """All rows whose id is not unique, in the order of the id; missing ids form one group."""
     repeated = _id_groups(df, column).filter(F.col("n") > 1).select(F.col(column).alias("_id"))
-    return df.join(repeated, F.col(column).eqNullSafe(F.col("_id")), "left_semi")
+    rows = df.join(repeated, F.col(column).eqNullSafe(F.col("_id")), "left_semi")
+    return rows.orderBy(column)
 
 
 def group_size_flag(df: DataFrame, column: str = "Booking ID") -> DataFrame:
-    """Adds ``Is_Repeated_ID``: 1 where another row has the same id."""
-    sized = _with_group_size(df, column)
-    return sized.withColumn("Is_Repeated_ID", (F.col("n") > 1).cast("int")).drop("n")
+    """Adds ``Is_Repeated_ID``: 1 where another row has the same id; missing ids are one.
+
+    A join on the repeated ids alone, not a window: adaptive execution can split a very
+    frequent id in a join, while a window must gather it in one task.
+    """
+    repeated = _id_groups(df, column).filter("n > 1").select(
+        F.col(column).alias("_id"), F.lit(1).alias("_repeated")
+    )
+    joined = df.join(repeated, F.col(column).eqNullSafe(F.col("_id")), "left")
+    return joined.withColumn("Is_Repeated_ID", F.coalesce("_repeated", F.lit(0))).drop(
+        "_id", "_repeated"
+    )
 
 
 def first_occurrence_flag(
@@ -215,15 +215,19 @@ def first_occurrence_flag(
 ) -> DataFrame:
     """Adds ``Is_Duplicate``: 0 for the first row of each id in ``order``, else 1.
 
-    The first row per id is a merged minimum, joined back for the same reason as
-    in ``_with_group_size``.
+    Ids that occur once need no join: only the first rows of repeated ids, found from
+    merged counts and minima, come back, and their side is as small as they are few.
     """
     key = F.struct(*order)
-    first = df.groupBy(F.col(column).alias("_id")).agg(F.min(key).alias("_first"))
-    joined = df.join(first, F.col(column).eqNullSafe(F.col("_id")))
-    return joined.withColumn("Is_Duplicate", (key > F.col("_first")).cast("int")).drop(
-        "_id", "_first"
+    first = (
+        df.groupBy(F.col(column).alias("_id"))
+        .agg(F.count("*").alias("_n"), F.min(key).alias("_first"))
+        .filter("_n > 1")
+        .drop("_n")
     )
+    joined = df.join(first, F.col(column).eqNullSafe(F.col("_id")), "left")
+    later = F.coalesce(key > F.col("_first"), F.lit(False))
+    return joined.withColumn("Is_Duplicate", later.cast("int")).drop("_id", "_first")
 
 
 def value_share(
@@ -432,14 +436,27 @@ def audit_overview(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     """
     columns = list(columns or df.columns)
     ts = calendar.parse_datetime(F.col("Date"), F.col("Time"))
-    cells = df.agg(
-        F.count("*").alias("Rows"),
+    # Equal rows first, their groups per id next, totals last: one scan, one wide shuffle.
+    rows = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
+    empty = sum((F.col(c).isNull().cast("long") for c in columns), F.lit(0).cast("long"))
+    per_id = rows.groupBy("Booking ID").agg(
+        F.sum("_n").alias("n"),
+        F.sum(F.col("_n") - 1).alias("copies"),
+        F.sum(F.col("_n") * empty).alias("cells"),
+        F.sum(F.when(ts.isNull(), F.col("_n")).otherwise(0)).alias("bad"),
+    )
+
+    def total(column: Column) -> Column:
+        return F.coalesce(F.sum(column), F.lit(0))
+
+    return per_id.agg(
+        total(F.col("n")).alias("Rows"),
         F.lit(len(columns)).alias("Columns"),
-        _total(columns).alias("Total Missing Cells"),
-        (F.count("*") - F.count(ts)).alias("Invalid DateTime"),
+        total(F.col("cells")).alias("Total Missing Cells"),
+        total(F.col("bad")).alias("Invalid DateTime"),
+        total(F.col("copies")).alias("Duplicate Rows"),
+        total(F.col("n") - 1).alias("Duplicate Booking IDs"),
     )
-    ids = duplicate_ids_first(df).withColumnRenamed("Duplicate Values", "Duplicate Booking IDs")
-    return side_by_side(cells, duplicate_rows(df), ids)
 
 
 def numeric_validation(df: DataFrame) -> DataFrame:
