@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ridelens.llm.dart_minhash import one_of_each
-from ridelens.llm.exact_dedup import without_duplicates
+from ridelens.llm.exact_dedup import one_of_each_text
 from ridelens.llm.mixing import sampled
 from ridelens.llm.packing import pack_documents
 from ridelens.llm.quality import accepted, train
@@ -22,8 +22,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text: the longest spelling, then the smallest id."""
-    return without_duplicates(docs)
+    """One row of each text: the longest spelling, then the smallest id."""
+    return one_of_each_text(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridelens.llm.tables import table
+from ridelens.llm.tables import stored, table
 
 SALTS = 16
 #: Characters that do not count: space, tab, line feed, vertical tab, form feed, return.
@@ -108,13 +108,64 @@ def exact_duplicates(
     )
 
 
+def _digested(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with the digest of the normalised text, and the name of that column."""
+    name = "_sha256"
+    while name in map(str.lower, docs.columns):
+        name = "_" + name
+    return docs.withColumn(name, F.sha2(normalised(docs[text_col]), 256)), name
+
+
+def _same(docs: DataFrame, digest: str, other: DataFrame, id_col: str) -> Column:
+    return docs[id_col].cast("bigint").eqNullSafe(other["_doc"]) & (docs[digest] == other["_digest"])
+
+
 def without_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The documents that stay, with all their columns. Documents are told apart by id."""
+    """The documents that stay, with all their columns. Documents are told apart by id
+    and normalised text, null-safe; rows that repeat both stay or go together."""
+    rows, digest = _digested(docs, text_col)
     lost = exact_duplicates(docs, id_col=id_col, text_col=text_col).filter(~F.col("kept"))
-    lost = lost.select(F.col("doc_id").alias("_lost"))
-    return docs.join(lost, docs[id_col].cast("bigint").eqNullSafe(lost["_lost"]), "left_anti")
+    lost = lost.select(F.col("doc_id").alias("_doc"), F.col("text_sha256").alias("_digest"))
+    return rows.join(lost, _same(rows, digest, lost, id_col), "left_anti").select(*docs.columns)
+
+
+def one_of_each_text(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row of each text, with all its columns: ``without_duplicates``, and of rows that
+    repeat an id and a text only the one with the longest spelling.
+
+    Ids that lose all their rows go by id alone, so that side of the join stays small.
+    Digests are joined only for ids that repeat, combined with partial aggregation.
+    Ids, digests and what stays are written to the shared folder first.
+    """
+    found = exact_duplicates(docs, id_col=id_col, text_col=text_col)
+    verdicts = stored(
+        found.select(F.col("doc_id").alias("_doc"), F.col("text_sha256").alias("_digest"), "kept"), "verdicts"
+    )
+    ids = verdicts.groupBy("_doc").agg(F.bool_or("kept").alias("_kept"), F.count("*").alias("_rows"))
+    gone = stored(ids.filter(~F.col("_kept")).select("_doc"), "gone")
+    several = stored(ids.filter(F.col("_kept") & (F.col("_rows") > 1)).select("_doc"), "several")
+
+    def of(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
+        return rows.join(other, rows[id_col].cast("bigint").eqNullSafe(other["_doc"]), how)
+
+    if several.isEmpty():
+        return of(docs, gone, "left_anti")
+    single = of(of(docs, gone, "left_anti"), several, "left_anti")
+    rows, digest = _digested(docs, text_col)
+    lost = verdicts.filter(~F.col("kept"))
+    again = of(rows, several, "left_semi").join(lost, _same(rows, digest, lost, id_col), "left_anti")
+    text = F.coalesce(again[text_col].cast("string"), F.lit(""))
+    whole = F.struct(*[again[c] for c in docs.columns])
+    # The spelling and the other columns decide between rows of equal length.
+    order = F.struct(F.char_length(text), text, F.to_json(whole))
+    combined = again.groupBy(again[id_col].cast("bigint").alias("_doc"), again[digest]).agg(
+        F.max_by(whole, order).alias("_row")
+    )
+    return single.unionByName(combined.select("_row.*"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import hashlib
 
 from helpers import no_documents, odd_documents, odd_rows
 
-from ridelens.llm.exact_dedup import exact_duplicates, without_duplicates
+from ridelens.llm.exact_dedup import exact_duplicates, one_of_each_text, without_duplicates
 
 
 def brute(rows):
@@ -45,6 +45,43 @@ def test_what_stays_has_all_columns(spark):
     assert sorted(r.doc_id for r in left.collect()) == [2, 3, 6, 7, 8, 9, 10, 10, 11]
 
 
+UNSAFE_IDS = [
+    (1, "a copy", "x"),
+    (None, "a copy", "x"),
+    (None, "on its own", "x"),
+    (2, "a copy", "x"),
+    (2, "another text", "x"),
+]
+
+
+def test_a_lost_copy_takes_no_other_text_of_its_id(spark):
+    docs = spark.createDataFrame(UNSAFE_IDS, "doc_id long, text string, _sha256 string")
+    want = [(1, "a copy", "x"), (2, "another text", "x"), (None, "on its own", "x")]
+    for kept in (without_duplicates(docs), one_of_each_text(docs)):
+        assert kept.columns == docs.columns
+        assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+
+
+def test_one_row_of_those_that_repeat_id_and_text(spark):
+    again = [(None, "on its own", "x"), (3, "twice", "b"), (3, "twice", "a"), (3, "t w i c e", "a")]
+    docs = spark.createDataFrame(UNSAFE_IDS + again, "doc_id long, text string, _sha256 string")
+    want = [(1, "a copy", "x"), (2, "another text", "x"), (None, "on its own", "x"), (3, "t w i c e", "a")]
+    for parts in (1, 7):
+        kept = one_of_each_text(docs.repartition(parts))
+        assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+
+
+def test_one_row_of_each_odd_text(spark):
+    docs = odd_documents(spark)
+    left = one_of_each_text(docs)
+    assert left.columns == docs.columns
+    assert sorted(r.doc_id for r in left.collect()) == [2, 3, 6, 7, 8, 9, 10, 11]
+
+
 def test_empty(spark):
     assert exact_duplicates(no_documents(spark)).collect() == []
     assert without_duplicates(no_documents(spark)).collect() == []
+
+
+def test_one_row_of_nothing(spark):
+    assert one_of_each_text(no_documents(spark)).collect() == []
