@@ -355,10 +355,29 @@ def near_duplicates(
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, one of each class, with all their columns."""
-    lost = near_duplicates(docs, id_col=id_col, text_col=text_col).filter(~F.col("kept"))
-    lost = lost.select(F.col("doc_id").alias("_lost"))
-    return docs.join(lost, docs[id_col] == lost["_lost"], "left_anti")
+    """The documents that stay, one of each class, with all their columns.
+
+    If ids repeat, an id's different texts are nodes of their own, so only the near copy
+    goes, and rows equal in id and text are one. Null ids all stay.
+    """
+    ids = docs.filter(docs[id_col].isNotNull()).groupBy(docs[id_col].alias("id"))
+    if ids.agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        lost = near_duplicates(docs, id_col=id_col, text_col=text_col).filter(~F.col("kept"))
+        lost = lost.select(F.col("doc_id").alias("_lost"))
+        return docs.join(lost, docs[id_col] == lost["_lost"], "left_anti")
+    name = "_node"
+    while name in map(str.lower, docs.columns):
+        name = "_" + name
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    node = F.struct(docs[id_col].alias("id"), F.sha2(text, 256).alias("digest"))
+    rows = docs.withColumn(name, F.when(docs[id_col].isNotNull(), node))
+    lost = near_duplicates(rows, id_col=name, text_col=text_col).filter(~F.col("kept"))
+    lost = lost.select(F.col("doc_id").alias("_lost")).distinct()
+    left = stored(rows.join(lost, rows[name] == lost["_lost"], "left_anti"), "left")
+    # Repeated rows are combined in each task first; the other columns decide between them.
+    whole = F.struct(*[left[c] for c in docs.columns])
+    one = left.filter(left[name].isNotNull()).groupBy(name).agg(F.max_by(whole, F.to_json(whole)).alias("_row"))
+    return left.filter(left[name].isNull()).select(*docs.columns).unionByName(one.select("_row.*"))
 
 
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

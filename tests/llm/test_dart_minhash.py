@@ -103,6 +103,18 @@ def test_whole_table_by_brute_force(spark, sf_dir):
     assert got == brute(rows)
 
 
+def test_only_the_near_copy_of_a_repeated_id_goes(spark):
+    word = lambda n: " ".join(f"w{n}x{i}" for i in range(60))
+    near = word(1) + " more"
+    rows = [(1, word(1), "a"), (5, near, "a"), (5, word(2), "a"), (6, word(3), "b"), (6, word(3), "a")]
+    rows += [(7, word(3) + " more", "a"), (None, word(1), "a"), (None, word(1), "a"), (-1, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _node string")
+    left = D.one_of_each(docs)
+    assert left.columns == docs.columns
+    want = [(1, word(1), "a"), (5, word(2), "a"), (6, word(3), "b"), (-1, None, "a")] + rows[6:8]
+    assert sorted(map(tuple, left.collect()), key=str) == sorted(want, key=str)
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 150)] + [(7, 7)]
     got = {r.node: r["class"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
