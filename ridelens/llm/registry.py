@@ -34,6 +34,5 @@ SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op4_mixing": mixing.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
-    "op6_dart_minhash": dart_minhash.op6_dart_minhash,
     "op7_url_rules": url_rules.OP7_SQL,
 }
