@@ -8,11 +8,14 @@ from ridelens.llm import (
     exact_dedup,
     fingerprints,
     language_crf,
+    license_scan,
+    merkle_manifest,
     mixing,
     packing,
     quality,
     sharding,
     url_rules,
+    vector_codes,
     warc,
 )
 
@@ -27,6 +30,9 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_sharding": sharding.op9_sharding,
     "op10_fingerprints": fingerprints.op10_fingerprints,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
+    "op13_license_scan": license_scan.op13_license_scan,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -35,4 +41,6 @@ SQL = {
     "op4_mixing": mixing.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
     "op7_url_rules": url_rules.OP7_SQL,
+    "op11_vector_codes": vector_codes.OP11_SQL,
+    "op12_merkle_manifest": merkle_manifest.OP12_SQL,
 }
