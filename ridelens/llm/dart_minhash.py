@@ -39,7 +39,7 @@ BANDS, ROWS = 28, 5
 SKETCH = 32
 _FIRST_RANK = 0.25
 _MOST_PER_REGION = 32.0
-_DARTS_AT_ONCE = 2_000_000
+_DARTS_AT_ONCE = 500_000
 _TEXTS_AT_ONCE = 500
 
 

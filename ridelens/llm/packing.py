@@ -34,7 +34,7 @@ END_ID = 1
 #: Rows that one task orders to number the pieces of one length.
 RUN_ROWS = 1000
 #: Characters of text that one call of the encoder holds.
-TEXT_AT_ONCE = 4_000_000
+TEXT_AT_ONCE = 1_000_000
 
 
 class Place(NamedTuple):
@@ -141,15 +141,14 @@ def token_pieces(
         encode = encoder(vocabulary).encode_all
         for batch in batches:
             names = batch.column("id")
-            texts = batch.column("text").to_pylist()
-            at = 0
+            texts, at = batch.column("text"), 0
             while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size < TEXT_AT_ONCE):
-                    size += len(texts[to] or "")
-                    to += 1
+                some, size = [], 0
+                while at + len(some) < len(texts) and size < TEXT_AT_ONCE:
+                    some.append(texts[at + len(some)].as_py() or "")
+                    size += len(some[-1])
                 rows, start, length, crc, total, ids = [], [], [], [], [], []
-                for row, raw in enumerate(encode([t or "" for t in texts[at:to]]), at):
+                for row, raw in enumerate(encode(some), at):
                     raw += end
                     for cut in range(0, len(raw), step):
                         piece = raw[cut : cut + step]
@@ -166,7 +165,7 @@ def token_pieces(
                     [pa.array(c, pa.int64()) if isinstance(c, list) else c for c in columns],
                     names=schema.names,
                 )
-                at = to
+                at += len(some)
 
     slim = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     return slim.mapInArrow(tokenise, schema)

@@ -187,9 +187,9 @@ def score_documents(
 def accepted(docs: DataFrame, weights: np.ndarray, *, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score at least ``threshold``, with all their columns."""
 
-    @F.pandas_udf("double")
-    def scores(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: score(t, weights)).astype("float64")
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
+        return pa.array([score(t.as_py(), weights) for t in texts], pa.float64())
 
     return docs.filter(scores(docs["text"].cast("string")) >= threshold)
 

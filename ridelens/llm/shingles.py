@@ -9,7 +9,7 @@ import xxhash
 
 WORDS = 5
 _WORD = re.compile(r"\w+")
-_MOST_CACHED = 400_000
+_MOST_CACHED = 100_000
 _ODD = 0x9E3779B97F4A7C15
 
 

@@ -19,12 +19,18 @@ _WORD = re.compile(
 )
 _NOT_PLAIN = re.compile(r"[^\t-\r\x20-\x7e\xa1-ɏ]|<\|")
 _JOINED = 2000
+#: What a remembered string takes besides its characters: two objects and a place in a table.
+_ENTRY_BYTES = 200
 
 
 class WordEncoder:
-    """``encode(text)`` gives little-endian unsigned 32-bit ids as bytes."""
+    """``encode_all(texts)`` gives little-endian unsigned 32-bit ids as bytes.
 
-    def __init__(self, vocabulary: str, cached_words: int = 500_000):
+    Both caches together are emptied when they pass ``cached_bytes``, counted while they
+    fill; what one call adds is bounded by the text it gets.
+    """
+
+    def __init__(self, vocabulary: str, cached_bytes: int = 96 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -37,7 +43,8 @@ class WordEncoder:
             self.closes[number] = word.endswith("</w>")
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
-        self.cached_words = cached_words
+        self.cached_bytes = cached_bytes
+        self.held = 0
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -45,6 +52,7 @@ class WordEncoder:
 
     def _learn(self, words: list[str]) -> None:
         """Encode unseen words many at a time; a closing id marks where each ends."""
+        self.held += sum(map(len, words)) + (_ENTRY_BYTES + 4) * len(words)
         for at in range(0, len(words), _JOINED):
             part = words[at : at + _JOINED]
             ids = np.array(
@@ -62,21 +70,21 @@ class WordEncoder:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; call it with a few MB of text at a time."""
         plain = [None if _NOT_PLAIN.search(t) else t.lower().split() for t in texts]
-        if len(self.chunks) > self.cached_words:
-            self.chunks = {}
-        if len(self.words) > self.cached_words:
-            self.words = {}
         known = self.chunks
         fresh = {c for chunks in plain if chunks for c in chunks if c not in known}
         split = {c: _WORD.findall(c) for c in fresh}
         self._learn(list({w for ws in split.values() for w in ws if w not in self.words}))
         of = self.words.__getitem__
         known.update((c, b"".join(map(of, ws))) for c, ws in split.items())
+        self.held += sum(map(len, fresh)) + (_ENTRY_BYTES + 4) * len(fresh)
         get = known.__getitem__
-        return [
+        out = [
             self._whole(t) if chunks is None else b"".join(map(get, chunks))
             for t, chunks in zip(texts, plain, strict=True)
         ]
+        if self.held > self.cached_bytes:
+            self.chunks, self.words, self.held = {}, {}, 0
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
