@@ -26,11 +26,14 @@ _ENTRY_BYTES = 200
 class WordEncoder:
     """``encode_all(texts)`` gives little-endian unsigned 32-bit ids as bytes.
 
-    Both caches together are emptied when they pass ``cached_bytes``, counted while they
+    Both caches together are emptied after a call that took them past ``cached_bytes`` or
+    ``cached_words`` entries, counted while they
     fill; what one call adds is bounded by the text it gets.
     """
 
-    def __init__(self, vocabulary: str, cached_bytes: int = 96 << 20):
+    def __init__(
+        self, vocabulary: str, cached_bytes: int = 96 << 20, cached_words: int = 1_000_000
+    ):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -44,6 +47,7 @@ class WordEncoder:
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
         self.cached_bytes = cached_bytes
+        self.cached_words = cached_words
         self.held = 0
 
     def _whole(self, text: str) -> bytes:
@@ -82,7 +86,7 @@ class WordEncoder:
             self._whole(t) if chunks is None else b"".join(map(get, chunks))
             for t, chunks in zip(texts, plain, strict=True)
         ]
-        if self.held > self.cached_bytes:
+        if self.held > self.cached_bytes or len(known) + len(self.words) > self.cached_words:
             self.chunks, self.words, self.held = {}, {}, 0
         return out
 
