@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +17,7 @@ from ridelens.operators import (
     cleaning,
     dashboard,
     filters,
+    forests,
     insights,
     learning_data,
     models,
@@ -26,7 +27,15 @@ from ridelens.operators import (
     statistics,
     variants,
 )
-from ridelens.plans.layers import audit, bronze, shared_folder, silver, silver_alternative
+from ridelens.plans.layers import (
+    audit,
+    bronze,
+    input_state,
+    materialise,
+    shared_folder,
+    silver,
+    silver_alternative,
+)
 from ridelens.sources import raw, sinks
 from ridelens.sources.derived import ROW_KEY, bookings_text
 
@@ -243,9 +252,23 @@ def _split(df: DataFrame, wanted=learning_data.PREBOOKING_FEATURES) -> DataFrame
     return learning_data.stratified_split(rows, ROW_KEY, _arithmetic_hash())
 
 
-def _train_test(df: DataFrame, spec: models.ForestSpec) -> tuple[DataFrame, DataFrame]:
-    rows = _split(df, spec.used_features())
-    return rows.filter("Is_Test = 0").drop("Is_Test"), rows.filter("Is_Test = 1").drop("Is_Test")
+_WIDE = list(learning_data.WIDE_FEATURES)
+
+
+def _stored_split(spark: SparkSession, sf_dir: str, name: str = "silver") -> DataFrame:
+    """All features with target and ``Is_Test``, split once per session and laid out by it."""
+    source = {"silver": silver, "silver_alternative": silver_alternative}[name]
+    return materialise(
+        spark, f"split_{name}", sf_dir, lambda: _split(source(spark, sf_dir), _WIDE), ["Is_Test"]
+    )
+
+
+def _train_test(
+    spark: SparkSession, sf_dir: str, spec: models.ForestSpec, name: str = "silver"
+) -> tuple[DataFrame, DataFrame]:
+    rows = _stored_split(spark, sf_dir, name)
+    columns = [*ROW_KEY, *spec.used_features(), learning_data.TARGET]
+    return rows.filter("Is_Test = 0").select(*columns), rows.filter("Is_Test = 1").select(*columns)
 
 
 def _scored(df: DataFrame) -> DataFrame:
@@ -260,68 +283,82 @@ def _scored(df: DataFrame) -> DataFrame:
     )
 
 
-def _imputation(operator, columns):
-    def run(df: DataFrame) -> DataFrame:
-        train, _ = _train_test(df, models.WIDE)
+def _imputation(operator, columns) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        train, _ = _train_test(spark, sf_dir, models.WIDE)
         return operator(train, columns)
 
     return run
 
 
-_MODELS: dict[tuple[str, str, str], PipelineModel] = {}
+_FORESTS: dict[tuple[str, str, str], forests.Forest] = {}
 
 
-def _model(spark: SparkSession, sf_dir: str, name: str) -> tuple[PipelineModel, DataFrame]:
-    """A fitted model, trained once per session, and its test rows."""
+def _forest(spark: SparkSession, sf_dir: str, name: str) -> tuple[forests.Forest, DataFrame]:
+    """A grown forest, stored in the shared folder per input and spec, and its test rows."""
     spec = getattr(models, name)
-    source = silver_alternative if name == "NOTEBOOK" else silver
-    train, test = _train_test(source(spark, sf_dir), spec)
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _MODELS:
-        _MODELS[key] = models.train_forest(train, spec)
-    return _MODELS[key], test
+    source = "silver_alternative" if name == "NOTEBOOK" else "silver"
+    train, test = _train_test(spark, sf_dir, spec, source)
+    state = input_state(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, state, name)
+    if key not in _FORESTS:
+        digest = hashlib.sha256(f"{state} {spec!r}".encode()).hexdigest()[:16]
+        folder = f"{shared_folder(spark)}/ridelens/forests/{name}-{digest}"
+        _FORESTS[key] = forests.grow(train, spec, folder)
+    return _FORESTS[key], test
 
 
 def _metrics(name: str) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        model, test = _model(spark, sf_dir, name)
-        return scoring.metrics_binary(models.predict(model, test))
+    """The scores of a model on its test rows, computed once and read from then on."""
 
-    return run
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        forest, test = _forest(spark, sf_dir, name)
+        return scoring.metrics_binary(forests.predict(forest, test))
+
+    return lambda spark, sf_dir: materialise(
+        spark, f"metrics_{name}", sf_dir, lambda: build(spark, sf_dir)
+    )
 
 
 def _predictions(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        model, test = _model(spark, sf_dir, name)
+        forest, test = _forest(spark, sf_dir, name)
         return models.prediction_report(
-            models.predict(model, test), getattr(models, name), ROW_KEY
+            forests.predict(forest, test), getattr(models, name), ROW_KEY
         )
 
     return run
 
 
 def _importance(name: str) -> Query:
-    return lambda spark, sf_dir: models.feature_importance(_model(spark, sf_dir, name)[0])
+    return lambda spark, sf_dir: materialise(
+        spark,
+        f"importance_{name}",
+        sf_dir,
+        lambda: forests.feature_importance(_forest(spark, sf_dir, name)[0]),
+    )
 
 
 def column_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, test = _model(spark, sf_dir, "PREBOOKING")
-    features = PipelineModel(model.stages[:-1])
-    return models.encoded_columns(features, test)
+    train, test = _train_test(spark, sf_dir, models.PREBOOKING)
+    return models.encoded_columns(models.fit_features(train, models.PREBOOKING), test)
 
 
 def save_load_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, test = _model(spark, sf_dir, "PREBOOKING")
-    path = _scratch(spark, sf_dir, "model")
-    models.save_model(model, path)
-    return models.predict(models.load_model(path), test).groupBy("Predicted_Completed").agg(
-        F.count("*").alias("Rows")
+    """Test rows whose prediction is the same before and after the model was stored."""
+    forest, test = _forest(spark, sf_dir, "PREBOOKING")
+    before = forests.predict(forest, test)
+    after = forests.predict(forests.load(spark, forest.folder), test)
+    old = before.select(*ROW_KEY, F.struct("Predicted_Completed", "Completion_Probability").alias("a"))
+    new = after.select(*ROW_KEY, F.struct("Predicted_Completed", "Completion_Probability").alias("b"))
+    return old.join(new, ROW_KEY, "full").agg(
+        F.count("*").alias("Rows"), F.count_if(F.col("a") == F.col("b")).alias("Same")
     )
 
 
 def predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, test = _model(spark, sf_dir, "PREBOOKING")
-    return models.predict(model, test).select(
+    forest, test = _forest(spark, sf_dir, "PREBOOKING")
+    return forests.predict(forest, test).select(
         *ROW_KEY, learning_data.TARGET, "Predicted_Completed", "Completion_Probability"
     )
 
@@ -654,12 +691,10 @@ def queries() -> dict[str, Query]:
         "stratified_split": on_silver(
             lambda df: _split(df).select(*_key_and(learning_data.TARGET, "Is_Test"))
         ),
-        "impute_median": on_silver(
-            lambda df: _rounded(_imputation(learning_data.impute_median, wide_numbers)(df), "Value")
-        ),
-        "impute_mode": on_silver(
-            _imputation(learning_data.impute_mode, learning_data.CATEGORICAL_FEATURES)
+        "impute_median": lambda s, d: _rounded(
+            _imputation(learning_data.impute_median, wide_numbers)(s, d), "Value"
         ),
+        "impute_mode": _imputation(learning_data.impute_mode, learning_data.CATEGORICAL_FEATURES),
         "class_weights": on_silver(
             lambda df: learning_data.class_weights(learning_data.add_target(df))
         ),

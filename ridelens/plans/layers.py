@@ -13,6 +13,7 @@ import tempfile
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ridelens.operators import cleaning, profiling
@@ -64,14 +65,30 @@ def materialise(
     return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
+_STATES: dict[tuple[str, str], str] = {}
+
+
 def input_state(spark: SparkSession, sf_dir: str) -> str:
-    """The folder with the names, sizes and times of its input files, as Spark sees them."""
-    states = [sf_dir.rstrip("/")]
-    for name in INPUTS:
-        files = spark.read.format("binaryFile").load(f"{sf_dir}/{name}.parquet")
-        listed = files.select("path", "length", "modificationTime").orderBy("path").collect()
-        states += [f"{r.path} {r.length} {r.modificationTime}" for r in listed]
-    return "\n".join(states)
+    """The folder with a digest of the names, sizes and times of its input files.
+
+    Looked up once per session, by one job that sums on the executors; ``refresh`` has it
+    looked up again.
+    """
+    folder = sf_dir.rstrip("/")
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STATES:
+        paths = [f"{folder}/{name}.parquet" for name in INPUTS]
+        files = spark.read.format("binaryFile").load(paths)
+        file = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+        found = files.agg(F.count("*").alias("files"), F.sum(file).alias("digest")).first()
+        _STATES[key] = f"{folder} {found['files']} {found['digest']}"
+    return _STATES[key]
+
+
+def refresh(spark: SparkSession, sf_dir: str) -> None:
+    """Look at the input files again when they are next needed: tables and models of other
+    files are built anew."""
+    _STATES.pop((spark.sparkContext.applicationId, sf_dir.rstrip("/")), None)
 
 
 def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
