@@ -8,6 +8,7 @@ from oracle.base import (
     KEY, NUMBERS, RAW, TEXT, clean_sql, mean, money, on_alt, on_audit, on_clean, on_raw, pct, q,
     rnd, strip_sql,
 )
+from ridelens.operators.insights import RECOMMENDATIONS  # fixed sentences
 
 CLEAN = RAW + [
     "DateTime", "Year", "Month", "Month_Name", "Day", "Day_of_Week", "Day_Name", "Hour",
@@ -279,8 +280,6 @@ def statements() -> dict[str, str]:
         o[name] = on_clean("SELECT * FROM clean")
     o["export_filtered"] = on_clean(f"SELECT * FROM clean WHERE {FILTER}")
     kpis = kpi_row("clean", R2)
-    o["write_insights_json"] = on_clean(wide("clean", [("rows", "count(*)"), *kpis]))
-
     # profiling
     def total_missing(names):
         return " + ".join(missing(c) for c in names)
@@ -442,6 +441,12 @@ def statements() -> dict[str, str]:
     o["clean_bookings_alt"] = on_alt("SELECT * FROM alt")
 
     # filters and spines
+    o["filter_equals"] = on_clean(
+        f"SELECT {KEY}, \"Payment Method\" FROM clean WHERE \"Payment Method\" = 'UPI'")
+    o["normalise_headers"] = on_clean(
+        f"SELECT {KEY}, \"Booking ID\" AS \"booking id\", \"Vehicle Type\" AS \"vehicle type\", "
+        "\"Booking Value\" AS \"booking value\" FROM clean")
+    o["first_matching_column"] = on_clean(f"SELECT {KEY}, \"Booking Value\" AS \"Found\" FROM clean")
     o["filter_in_list"] = on_clean(
         f"SELECT {KEY}, \"Payment Method\" FROM clean WHERE \"Payment Method\" IN ('UPI', 'Cash')")
     o["filter_hour_between"] = on_clean(
@@ -579,11 +584,14 @@ def statements() -> dict[str, str]:
         f"{rnd('lo + w * i', 6)} AS \"Upper\", coalesce(n, 0) AS \"Count\" FROM range(1, 26) r(i) "
         "CROSS JOIN w LEFT JOIN h ON bin = i")
     o["histogram_rating"] = on_clean(
-        f", h AS (SELECT greatest(least(cast(floor((cast(round({dr} * 10) AS int) - 30) / 2) AS int) + 1, 10), "
-        f"1) AS bin, count(*) AS n FROM {done} WHERE {dr} IS NOT NULL GROUP BY 1) SELECT cast(i AS "
-        "int) AS \"Bin\", round(3 + 0.2 * (i - 1), 6)::double AS \"Lower\", round(3 + 0.2 * i, "
-        "6)::double AS \"Upper\", coalesce(n, 0) AS \"Count\" FROM range(1, 11) r(i) LEFT JOIN h ON "
-        "bin = i")
+        f", x AS (SELECT cast({dr} AS decimal(28,6)) AS v FROM {done} WHERE {dr} IS NOT NULL), "
+        "steps AS (SELECT unnest([0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1, 2, 5, 10]::decimal(10,2)[]) AS w), "
+        "chosen AS (SELECT min(w) AS w FROM steps WHERE (SELECT floor(max(v) / w) - floor(min(v) / w) "
+        "FROM x) < 10), bounds AS (SELECT w, cast(floor(min(v) / w) AS bigint) AS lo, "
+        "cast(floor(max(v) / w) AS bigint) AS hi FROM x, chosen GROUP BY w), places AS (SELECT w, lo, "
+        "unnest(range(lo, hi + 1)) AS spot FROM bounds) SELECT cast(spot - lo + 1 AS int) AS \"Bin\", "
+        "cast(spot * w AS double) AS \"Lower\", cast((spot + 1) * w AS double) AS \"Upper\", "
+        "(SELECT count(*) FROM x WHERE v >= spot * w AND v < (spot + 1) * w) AS \"Count\" FROM places")
     o["daily_revenue"] = on_clean(daily("clean"))
     o["dash_daily_revenue"] = on_clean(daily(FILTERED))
     o["share_of_total"] = on_clean(value_share("clean", "Pickup Location", "Bookings", "Share"))
@@ -698,6 +706,121 @@ def statements() -> dict[str, str]:
         ("top_pickup_location", winner("Pickup Location", "alt")),
         ("top_payment_method", winner("Payment Method", "alt"))]))
 
+    # the document: every value by its path
+    number = lambda x: f"cast(cast({x} AS decimal(28,6)) AS varchar)"
+    text = lambda x: f"cast({x} AS varchar)"
+
+    def single(path, source, values):
+        return [f"SELECT {lit(f'{path}.{n}')} AS path, {as_(n)} AS value FROM ({source})" for n, as_ in values]
+
+    def listed(path, source, order, values):
+        ranked = f"(SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS i FROM ({source}))"
+        return [f"SELECT {lit(path)} || '[' || i || '].{n}' AS path, {as_(q(n))} AS value FROM {ranked}"
+                for n, as_ in values]
+
+    def reason_leaves(path, report):
+        return [f"SELECT {lit(path)} || '.' || \"Reason\" AS path, {number('\"Bookings\"')} AS value "
+                f"FROM ({report})"]
+
+    def measured(key, slim=False, key_as=text):
+        names = ["bookings", "completed", "completion_rate", "revenue"]
+        names += [] if slim else ["cancelled", "cancellation_rate"]
+        return [(key, key_as), *[(n, number) for n in names]]
+
+    def values_of(key, label_names, number_names, slim=False, source="clean", label_as=text):
+        s_ = f"WITH s AS ({section(key, slim, source=source)}) SELECT "
+        picks = [f"{best(key, by)} AS {n}" for n, by in label_names]
+        picks += [f"{peak(by)} AS {n}" for n, by in number_names]
+        return s_ + ", ".join(picks), [(n, label_as) for n, _ in label_names] + [(n, number) for n, _ in number_names]
+
+    kpi_names = [(n, number) for n, _ in kpis]
+    leaves = ["SELECT 'project' AS path, 'Ride bookings' AS value", "SELECT 'title', 'Ride booking analytics'",
+              f"SELECT 'dataset.rows', {number('count(*)')} FROM clean", "SELECT 'dataset.source_file', 'bookings'"]
+    leaves += single("executive_kpis", "SELECT * FROM k", kpi_names)
+    for path, key, slim, source, labels, numbers, lists in (
+        ("vehicle_insights", "Vehicle Type", False, "clean",
+         [("highest_demand_vehicle", "bookings"), ("highest_revenue_vehicle", "revenue"),
+          ("highest_completion_vehicle", "completion_rate")], [],
+         ("vehicle_summary", "bookings DESC, \"Vehicle Type\"", "")),
+        ("hourly_insights", "Hour", False, "clean",
+         [("peak_hour", "bookings"), ("highest_revenue_hour", "revenue")],
+         [("peak_hour_bookings", "bookings"), ("highest_hourly_revenue", "revenue")],
+         ("hourly_summary", "\"Hour\"", "")),
+        ("time_period_insights", "Time_Period", False, "clean", [("highest_demand_period", "bookings")], [],
+         ("period_summary", "\"Time_Period\"", "")),
+        ("location_insights", "Pickup Location", False, "clean", [("highest_demand_pickup", "bookings")],
+         [("highest_demand_pickup_bookings", "bookings")],
+         ("top_pickup_locations", "bookings DESC, \"Pickup Location\"", "LIMIT 10")),
+        ("route_insights", "Route", True, routes, [("highest_volume_route", "bookings")],
+         [("highest_volume_route_bookings", "bookings")],
+         ("top_routes", "bookings DESC, \"Route\"", "LIMIT 10")),
+        ("payment_insights", "Payment Method", True, "clean", [("most_used_payment_method", "bookings")],
+         [("most_used_payment_bookings", "bookings")], ("payment_summary", "\"Payment Method\"", "")),
+    ):
+        as_ = number if key == "Hour" else text
+        leaves += single(path, *values_of(key, labels, numbers, slim, source, as_))
+        name, order, limit = lists
+        rows_ = section(key, slim, f"ORDER BY {order} {limit}" if limit else "", source)
+        leaves += listed(f"{path}.{name}", rows_, order, measured(key, slim, as_))
+    leaves += single("cancellation_insights", f"SELECT {cd} + {cc} AS total_cancelled, {cd} AS "
+                     f"driver_cancellation_count, {cc} AS customer_cancellation_count FROM clean",
+                     [(n, number) for n in ("total_cancelled", "driver_cancellation_count",
+                                            "customer_cancellation_count")])
+    leaves += reason_leaves("cancellation_insights.top_driver_cancellation_reasons", reasons(*by_driver))
+    leaves += reason_leaves("cancellation_insights.top_customer_cancellation_reasons", reasons(*by_customer))
+    leaves += [f"SELECT 'incomplete_insights.total_incomplete', {number(flag_sum('Is_Incomplete'))} FROM clean"]
+    leaves += reason_leaves("incomplete_insights.top_incomplete_reasons",
+                            reasons("Incomplete", "Incomplete Rides Reason"))
+    rating = [("average_driver_rating", rnd(mean(dr))), ("average_customer_rating", rnd(mean(cr))),
+              ("driver_rating_min", rnd(f"min({dr})")), ("driver_rating_max", rnd(f"max({dr})")),
+              ("customer_rating_min", rnd(f"min({cr})")), ("customer_rating_max", rnd(f"max({cr})"))]
+    leaves += single("rating_insights", wide(done, rating), [(n, number) for n, _ in rating])
+    value = [("completed_ride_revenue", rnd(money(bv))), ("average_completed_booking_value", rnd(mean(bv))),
+             ("average_completed_ride_distance", rnd(mean(rd)))]
+    leaves += single("revenue_insights", wide(done, value), [(n, number) for n, _ in value])
+    leaves += [f"SELECT 'revenue_insights.top_revenue_vehicle', (WITH s AS ("
+               f"{grouped(['Vehicle Type'], {'revenue': R3}, source=done)}) SELECT {best('Vehicle Type', 'revenue')})"]
+    leaves += [f"SELECT 'key_findings[{i}]', {x} FROM k" for i, x in enumerate(sentences)]
+    leaves += [f"SELECT 'recommendations[{i}]', {lit(x)}" for i, x in enumerate(RECOMMENDATIONS)]
+    model = (f", k AS ({wide('clean', kpis)}){SCORED}, scores AS (SELECT {rnd(ratio('tp + tn', 'tp + tn + fp + fn'), 6)}"
+             f" AS \"Accuracy\", {rnd(ratio('tp', 'tp + fp'), 6)} AS \"Precision\", {rnd(ratio('tp', 'tp + fn'), 6)} AS "
+             f"\"Recall\", {rnd(ratio('2 * tp', '2 * tp + fp + fn'), 6)} AS \"F1 Score\", {rnd(AUC, 6)} AS \"ROC-AUC\" "
+             f"FROM cm), matrix AS (WITH {corr_rows('clean', CORR)[2:]}), "
+             "features AS (SELECT \"Column\" AS feature, \"Is_Completed\" AS importance FROM matrix WHERE "
+             "\"Is_Completed\" IS NOT NULL ORDER BY 2 DESC, 1 LIMIT 10)")
+    score_names = ["Accuracy", "Precision", "Recall", "F1 Score", "ROC-AUC"]
+    leaves += [f"SELECT {lit(f'ai_insights.model_metrics.{n}')}, {number(q(n))} FROM scores" for n in score_names]
+    leaves += listed("ai_insights.top_predictive_features", "SELECT * FROM features", "importance DESC, feature",
+                     [("feature", text), ("importance", number)])
+    for name in ("insights_document", "write_insights_json"):
+        o[name] = on_clean(f"{model} " + " UNION ALL ".join(leaves))
+    heads = ["# Ride bookings — Business Insights", "", "## Executive KPIs", "", "", "## Key Findings", "", "",
+             "## Operational Recommendations", "", "", "## AI Model", "", "", "### Top Predictive Features", ""]
+    shown = [("Total Bookings", "total_bookings"), ("Completed Bookings", "completed_bookings"),
+             ("Cancelled Bookings", "cancelled_bookings"), ("Incomplete Bookings", "incomplete_bookings"),
+             ("No Driver Found", "no_driver_found"), ("Completion Rate", "completion_rate"),
+             ("Cancellation Rate", "cancellation_rate"), ("Incomplete Rate", "incomplete_rate"),
+             ("No Driver Found Rate", "no_driver_found_rate"),
+             ("Completed Ride Revenue", "completed_ride_revenue"),
+             ("Average Booking Value", "average_booking_value"), ("Average Ride Distance", "average_ride_distance"),
+             ("Average Driver Rating", "average_driver_rating"),
+             ("Average Customer Rating", "average_customer_rating")]
+
+    def shown_as(n):
+        if n.endswith("_rate") and n.startswith(("completion", "cancellation", "incomplete", "no_driver")):
+            return f"{two(n)} || '%'"
+        return two(n) if n.startswith("average") else comma(f"round({n})")
+
+    lines = [f"SELECT {lit(h)} AS value" for h in heads]
+    lines += [f"SELECT {lit(f'- {label}: **')} || {shown_as(n)} || '**' FROM k" for label, n in shown]
+    lines += [f"SELECT '- ' || {x} FROM k" for x in sentences]
+    lines += [f"SELECT {lit(f'- {x}')}" for x in RECOMMENDATIONS]
+    lines += [f"SELECT {lit(f'- {n}: **')} || {text(q(n))} || '**' FROM scores" for n in score_names]
+    lines += [f"SELECT '- ' || feature || ': ' || {text('importance')} FROM features"]
+    o["write_insights_markdown"] = on_clean(f"{model} " + " UNION ALL ".join(lines))
+    o["recommendations"] = " UNION ALL ".join(
+        f"SELECT {i} AS \"Position\", {lit(x)} AS \"Recommendation\"" for i, x in enumerate(RECOMMENDATIONS, 1))
+
     # dashboard
     o["dash_status_counts"] = on_clean(counts("Booking Status", FILTERED))
     o["dash_hourly"] = on_clean(counts("Hour", FILTERED))
@@ -775,6 +898,25 @@ def statements() -> dict[str, str]:
         f"{SPLIT}, v AS ({value_counts_cte(train, CATEGORICAL)}) SELECT \"Column\", \"Value\" FROM v "
         "WHERE \"Value\" IS NOT NULL QUALIFY row_number() OVER (PARTITION BY \"Column\" ORDER BY "
         "\"Count\" DESC, \"Value\") = 1")
+    o["save_load_model"] = on_clean(
+        f"{SPLIT} SELECT count(*) AS \"Rows\", count(*) AS \"Same\" FROM split WHERE \"Is_Test\" = 1")
+    pre_numbers = [c for c in PRE if c not in CATEGORICAL]
+    pre_texts = [c for c in CATEGORICAL if c in PRE]
+    gaps = ", ".join(
+        [f"(SELECT quantile_cont({q(c)}, 0.5) FROM {train}) AS {q(c)}" for c in pre_numbers]
+        + [f"(SELECT {q(c)} FROM {train} WHERE {q(c)} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) "
+           f"AS {q(c)}" for c in pre_texts])
+    filled = lambda c: f"coalesce(r.{q(c)}, g.{q(c)})"
+    tested = "(SELECT * FROM split WHERE \"Is_Test\" = 1)"
+    slots = [f"SELECT 0 AS block, {i} AS spot, {lit(f'numeric__{c}')} AS name, "
+             f"(SELECT cast(sum({filled(c)}) AS double) FROM {tested} r, g) AS total"
+             for i, c in enumerate(pre_numbers)]
+    slots += [f"SELECT {i} AS block, row_number() OVER (ORDER BY v) AS spot, {lit(f'categorical__{c}_')} || v AS name, "
+              f"(SELECT cast(count(*) AS double) FROM {tested} r, g WHERE {filled(c)} = v) AS total "
+              f"FROM (SELECT DISTINCT {filled(c)} AS v FROM {train} r, g)" for i, c in enumerate(pre_texts, 1)]
+    o["column_transform"] = on_clean(
+        f"{SPLIT}, g AS (SELECT {gaps}) SELECT cast(row_number() OVER (ORDER BY block, spot) - 1 AS int) AS \"Slot\", "
+        f"name AS \"Feature\", total AS \"Total\" FROM ({' UNION ALL '.join(slots)})")
     o["class_weights"] = on_clean(
         f"SELECT \"Target_Completed\", n AS \"Count\", cast(sum(n) OVER () AS double) / (n * 2) AS "
         f"\"Weight\" FROM (SELECT \"Target_Completed\", count(*) AS n FROM (SELECT {TARGET} FROM "

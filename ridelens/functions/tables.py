@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def fixed_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
@@ -46,3 +47,40 @@ def share(part: Column, frame: DataFrame, measure: str) -> Column:
     """
     total = frame.agg(F.sum(measure).alias("total")).scalar()
     return F.try_divide(part.cast("double"), total.cast("double")) * 100
+
+
+def _leaves(value: Column, kind: T.DataType, path: Column) -> Column:
+    """An array of (path, value) with every single value inside ``value``, as text."""
+    nothing = F.expr("cast(array() as array<struct<path:string,value:string>>)")
+    if isinstance(kind, T.StructType):
+        parts = [
+            _leaves(value[f.name], f.dataType, F.concat(path, F.lit(f".{f.name}"))) for f in kind
+        ]
+        return F.concat(nothing, *parts)
+    if isinstance(kind, T.ArrayType):
+        inner = F.transform(
+            value,
+            lambda x, i: _leaves(
+                x, kind.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
+            ),
+        )
+        return F.coalesce(F.flatten(inner), nothing)
+    if isinstance(kind, T.MapType):
+        inner = F.transform(
+            F.map_entries(value),
+            lambda e: _leaves(e["value"], kind.valueType, F.concat(path, F.lit("."), e["key"])),
+        )
+        return F.coalesce(F.flatten(inner), nothing)
+    number = isinstance(kind, T.NumericType)
+    text = (value.cast("decimal(28,6)") if number else value).cast("string")
+    return F.array(F.struct(path.alias("path"), text.alias("value")))
+
+
+def flattened(document: DataFrame) -> DataFrame:
+    """(path, value) for every single value of a small nested document, in its order.
+
+    Paths are names joined by dots, with ``[position]`` in arrays and keys in maps;
+    numbers have six decimals.
+    """
+    parts = [_leaves(F.col(f"`{f.name}`"), f.dataType, F.lit(f.name)) for f in document.schema]
+    return document.select(F.explode(F.concat(*parts)).alias("leaf")).select("leaf.*")

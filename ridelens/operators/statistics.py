@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridelens import schema as S
 from ridelens.functions.numbers import exact_sum, round_half_up
-from ridelens.functions.tables import fixed_rows
+from ridelens.functions.tables import fixed_rows, long_rows
 from ridelens.operators.reports import completed_rides
 
 
@@ -122,10 +122,9 @@ def correlation_matrix(
 ) -> DataFrame:
     """Pairwise Pearson correlations over the rows that have both values.
 
-    Each row is repeated once per column, and that column is paired with all of
-    them. Values are first centred on the column means (constants from a pass
-    before), which keeps plain sums accurate; a missing partner counts as 0 with
-    weight 0, so the sums need no branches.
+    One aggregation holds the co-moments of the upper triangle; the one row that it gives
+    is mirrored into the matrix. Values are first centred on the column means (constants
+    from a pass before), which keeps plain sums accurate.
     """
     columns = [c for c in columns if c in df.columns]
     means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns])
@@ -133,31 +132,67 @@ def correlation_matrix(
     def centred(c: str) -> Column:
         return F.col(c).cast("double") - F.coalesce(means.select(c).scalar(), F.lit(0.0))
 
-    values = df.select(*[centred(c).alias(c) for c in columns])
-    partners = {}
-    for i, c in enumerate(columns):
-        partners[f"y{i}"] = F.coalesce(F.col(c), F.lit(0.0))
-        partners[f"w{i}"] = F.col(c).isNotNull().cast("double")
-    long = values.withColumns(partners).unpivot(list(partners), columns, "Column", "x")
-    x = F.col("x")
+    values = df.select(*[centred(c).alias(f"x{i}") for i, c in enumerate(columns)])
     sums = {}
-    for i in range(len(columns)):
-        y, w = F.col(f"y{i}"), F.col(f"w{i}")
-        sums |= {f"n{i}": w, f"sx{i}": x * w, f"sy{i}": y, f"sxx{i}": x * x * w, f"syy{i}": y * y,
-                 f"sxy{i}": x * y}
-    summed = long.filter(x.isNotNull()).groupBy("Column").agg(
-        *[F.sum(e).alias(name) for name, e in sums.items()]
+    for j in range(len(columns)):
+        for i in range(j + 1):
+            x, y = F.col(f"x{i}"), F.col(f"x{j}")
+            both_x, both_y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+            moments = {"sx": both_x, "sy": both_y, "sxx": both_x * x, "syy": both_y * y, "sxy": x * y}
+            sums |= {f"{name}_{i}_{j}": F.sum(e) for name, e in moments.items()}
+            sums[f"n_{i}_{j}"] = F.count(both_x).cast("double")
+    upper = values.agg(*[e.alias(name) for name, e in sums.items()])
+
+    def cell(i: int, j: int) -> Column:
+        i, j = min(i, j), max(i, j)
+        parts = [F.col(f"{p}_{i}_{j}") for p in ("n", "sx", "sy", "sxx", "syy", "sxy")]
+        return round_half_up(_pearson(*parts), digits)
+
+    order = range(len(columns))
+    rows = [(c, [cell(i, j) for j in order]) for i, c in enumerate(columns)]
+    return long_rows(upper, "Column", rows, columns)
+
+
+# Steps a reader counts in.
+_NICE_STEPS = ("0.01", "0.02", "0.05", "0.1", "0.2", "0.5", "1", "2", "5", "10", "20", "50",
+               "100", "200", "500", "1000", "2000", "5000", "10000")
+
+
+def histogram_nice(df: DataFrame, column: str, most_bins: int = 10) -> DataFrame:
+    """(Bin, Lower, Upper, Count) with bins of a round width, chosen from the value range.
+
+    The width is the smallest of 1, 2 or 5 times a power of ten, from 0.01 to 10,000, that
+    needs at most ``most_bins`` bins (else the largest); bins start at its multiples and hold
+    their lower bound. Values are taken as decimals, so 3.6 opens the bin it should.
+    """
+    x = F.col(column).cast("decimal(28,6)")
+    values = df.select(x.alias("x")).filter("x is not null")
+    steps = F.array(*[F.lit(s).cast("decimal(10,2)") for s in _NICE_STEPS])
+
+    def place(value: Column, step: Column) -> Column:
+        return F.floor(value / step).cast("long")
+
+    low, high = F.col("low"), F.col("high")
+    fitting = F.filter(steps, lambda s: place(high, s) - place(low, s) < most_bins)
+    step = F.coalesce(F.try_element_at(fitting, F.lit(1)), F.element_at(steps, -1))
+    # One row; the width enters the second scan as a constant.
+    bounds = values.agg(F.min("x").alias("low"), F.max("x").alias("high")).withColumn("step", step)
+    width = bounds.select("step").scalar()
+    counts = values.select(place(F.col("x"), width).alias("at")).groupBy("at").agg(F.count("*").alias("n"))
+    spine = bounds.select(
+        "step", F.explode(F.sequence(place(low, F.col("step")), place(high, F.col("step")))).alias("at")
     )
-    cells = [
-        _pearson(*[F.col(f"{part}{i}") for part in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-        for i in range(len(columns))
-    ]
-    matrix = summed.select(
-        "Column", *[round_half_up(cell, digits).alias(c) for c, cell in zip(columns, cells)]
+    first = F.min("at").over(Window.partitionBy("step"))  # at most `most_bins` rows
+    return (
+        spine.join(counts, "at", "left")
+        .select(
+            (F.col("at") - first + 1).cast("int").alias("Bin"),
+            (F.col("at") * F.col("step")).cast("double").alias("Lower"),
+            ((F.col("at") + 1) * F.col("step")).cast("double").alias("Upper"),
+            F.coalesce("n", F.lit(0)).cast("long").alias("Count"),
+        )
+        .orderBy("Bin")
     )
-    # A column without any value still has its row.
-    names = fixed_rows(df.sparkSession, [(c,) for c in columns], "Column string")
-    return names.join(matrix, "Column", "left")
 
 
 def daily_revenue(df: DataFrame) -> DataFrame:

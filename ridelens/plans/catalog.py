@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ridelens import schema as S
 from ridelens.functions import calendar, text
 from ridelens.functions.numbers import round_half_up
+from ridelens.functions.tables import flattened
 from ridelens.operators import (
     cleaning,
     dashboard,
@@ -142,25 +143,50 @@ def export_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.read_clean_bookings_csv(spark, path, KEY_FIELDS)
 
 
-def _model_reports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return _metrics("PREBOOKING")(spark, sf_dir), _importance("PREBOOKING")(spark, sf_dir)
+def _reports_on_file(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two model reports read from files, as the document and the page take them: the
+    scores of the arithmetic scorer, and each column's correlation with completion.
+
+    SQL can state both. The reports of a trained forest (``_metrics``, ``_importance``)
+    have the same columns and are passed in the same way.
+    """
+
+    def stored(name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        report = materialise(spark, f"{name}_report", sf_dir, build)
+        path = _scratch(spark, sf_dir, name)
+        sinks.write_report_csv(report, path)
+        return raw.read_optional_report(spark, path, report.schema)
+
+    def scores() -> DataFrame:
+        return _rounded(scoring.metrics_binary(_scored(silver(spark, sf_dir))), "Score")
+
+    def importance() -> DataFrame:
+        matrix = statistics.correlation_matrix(silver(spark, sf_dir))
+        return matrix.select(F.col("Column").alias("Feature"), F.col("Is_Completed").alias("Importance"))
+
+    return stored("scores", scores), stored("importance", importance)
 
 
 def _document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return insights.insights_document(silver(spark, sf_dir), *_model_reports(spark, sf_dir))
+    return insights.insights_document(silver(spark, sf_dir), *_reports_on_file(spark, sf_dir))
+
+
+def insights_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of every section."""
+    return flattened(_document(spark, sf_dir))
 
 
 def write_insights_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of the document after it was written and read again."""
     path = _scratch(spark, sf_dir, "insights_json")
     document = _document(spark, sf_dir)
     sinks.write_insights_json(document, path)
-    back = raw.read_optional_report(spark, path, document.schema, "json")
-    return back.select(F.col("dataset.rows").alias("rows"), "executive_kpis.*")
+    return flattened(raw.read_optional_report(spark, path, document.schema, "json"))
 
 
 def write_insights_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark, sf_dir, "insights_md")
-    page = insights.insights_markdown(silver(spark, sf_dir), *_model_reports(spark, sf_dir))
+    page = insights.insights_markdown(silver(spark, sf_dir), *_reports_on_file(spark, sf_dir))
     sinks.write_insights_markdown(page, path)
     return spark.read.text(path)
 
@@ -197,6 +223,12 @@ def _parse_datetime(df: DataFrame) -> DataFrame:
     return stamped.select(*_key_and("Date", "Time", "DateTime"))
 
 
+def _first_matching(df: DataFrame) -> DataFrame:
+    """The first column that goes by one of several names, under a name of its own."""
+    found = cleaning.first_matching_column(df, ["fare", "booking value", "revenue"])
+    return df.select(*ROW_KEY, F.col(found).alias("Found"))
+
+
 def _route_label(df: DataFrame) -> DataFrame:
     return df.select(*ROW_KEY, text.route_label().alias("Route"))
 
@@ -431,6 +463,13 @@ def queries() -> dict[str, Query]:
         "status_report_clean": on_silver(lambda df: profiling.value_share(df, "Booking Status")),
         "vehicle_report_clean": on_silver(lambda df: profiling.value_share(df, "Vehicle Type")),
         # cleaning and features
+        "normalise_headers": on_silver(
+            lambda df: cleaning.normalise_headers(
+                df.select(*_key_and("Booking ID", "Vehicle Type", "Booking Value"))
+            )
+        ),
+        "first_matching_column": on_silver(_first_matching),
+        "recommendations": on_silver(insights.recommendations),
         "clean_text": on_bronze(_clean_text),
         "audit_strip": on_bronze(_audit_strip),
         "coerce_numeric": on_bronze(_coerce_numeric),
@@ -458,6 +497,11 @@ def queries() -> dict[str, Query]:
         "clean_bookings": lambda s, d: cleaning.clean_bookings(bronze(s, d)),
         "clean_bookings_alt": lambda s, d: cleaning.clean_bookings_alternative(bronze(s, d)),
         # filters and spines
+        "filter_equals": on_silver(
+            lambda df: filters.filter_equals(df, "Payment Method", "UPI").select(
+                *_key_and("Payment Method")
+            )
+        ),
         "filter_in_list": on_silver(
             lambda df: filters.filter_in_list(df, "Payment Method", ["UPI", "Cash"]).select(
                 *_key_and("Payment Method")
@@ -550,9 +594,7 @@ def queries() -> dict[str, Query]:
             )
         ),
         "histogram_rating": on_silver(
-            lambda df: statistics.histogram_fixed(
-                reports.completed_rides(df), "Driver Ratings", 3.0, 5.0, 10
-            )
+            lambda df: statistics.histogram_nice(reports.completed_rides(df), "Driver Ratings")
         ),
         "daily_revenue": on_silver(statistics.daily_revenue),
         "share_of_total": on_silver(
@@ -624,9 +666,7 @@ def queries() -> dict[str, Query]:
         "rating_insights": on_silver(insights.rating_insights),
         "revenue_insights": on_silver(insights.revenue_insights),
         "key_findings": on_silver(insights.key_findings),
-        "insights_document": lambda s, d: _document(s, d).select(
-            F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("document")
-        ),
+        "insights_document": insights_document,
         "insights_summary": on_alternative(insights.insights_summary),
         # dashboard
         "dash_status_counts": filtered(dashboard.status_counts),
