@@ -218,17 +218,20 @@ def add_business_features(df: DataFrame) -> DataFrame:
     )
 
 
-def clean_bookings(df: DataFrame, formats: Sequence[str] = ()) -> DataFrame:
+def clean_bookings(
+    df: DataFrame, formats: Sequence[str] = (), keep_invalid: bool = False
+) -> DataFrame:
     """Raw text bookings to the cleaned table with its 24 derived columns.
 
-    Extra columns (a row key) travel along and count in the duplicate test.
+    Extra columns (a row key) travel along and count in the duplicate test. Rows without a
+    valid date are dropped; ``keep_invalid`` leaves them in, with calendar columns of NULL.
     """
     return (
         df.transform(clean_text_columns)
         .transform(drop_exact_duplicates)
         .transform(coerce_numeric)
         .transform(null_invalid_numeric)
-        .transform(add_datetime, formats)
+        .transform(add_datetime, formats, keep_invalid)
         .transform(add_calendar)
         .transform(add_time_period)
         .transform(add_business_features)

@@ -470,23 +470,33 @@ def numeric_validation(df: DataFrame) -> DataFrame:
 
 
 def cleaning_summary(
-    raw: DataFrame, clean: DataFrame, raw_columns: int, clean_columns: Sequence[str]
+    raw: DataFrame,
+    clean: DataFrame,
+    raw_columns: int,
+    clean_columns: Sequence[str],
+    deduplicated: DataFrame | None = None,
 ) -> DataFrame:
-    """Counters of a cleaning run in one row, from the raw and the cleaned table."""
-    texts = raw.transform(cleaning.clean_text_columns)
-    ts = calendar.parse_datetime(F.col("Date"), F.col("Time"))
-    rows = texts.groupBy(*texts.columns).agg(F.count("*").alias("n"))
-    per_id = rows.groupBy("Booking ID").agg(
-        F.sum("n").alias("n"),
-        F.count("*").alias("kept"),
-        (F.count("*") - F.count(ts)).alias("bad"),
+    """Counters of a cleaning run in one row, from the raw and the cleaned table.
+
+    ``deduplicated`` is the cleaned table with the undated rows still in it, if the run has
+    stored that: then nothing is cleaned again and only two columns of it are read.
+    """
+    if deduplicated is None:
+        texts = raw.transform(cleaning.clean_text_columns).distinct()
+        stamp = calendar.parse_datetime(F.col("Date"), F.col("Time"))
+        deduplicated = texts.withColumn("DateTime", stamp)
+    per_id = deduplicated.groupBy("Booking ID").agg(
+        F.count("*").alias("kept"), (F.count("*") - F.count("DateTime")).alias("bad")
     )
+    all_rows = raw.agg(F.count("*")).scalar()
     repeated = F.col("kept") > 1
     before = per_id.agg(
-        F.sum("n").alias("original_rows"),
+        F.any_value(all_rows).alias("original_rows"),
         F.lit(raw_columns).alias("original_columns"),
-        F.sum(F.col("n") - F.col("kept")).alias("exact_duplicate_rows_removed"),
-        F.sum("bad").alias("invalid_datetime_rows_removed"),
+        (F.any_value(all_rows) - F.coalesce(F.sum("kept"), F.lit(0))).alias(
+            "exact_duplicate_rows_removed"
+        ),
+        F.coalesce(F.sum("bad"), F.lit(0)).alias("invalid_datetime_rows_removed"),
         F.count(F.when(repeated, F.col("Booking ID"))).alias("duplicate_booking_ids_found"),
         F.coalesce(F.sum(F.when(repeated, F.col("kept"))), F.lit(0)).alias(
             "rows_with_duplicate_booking_ids"

@@ -122,35 +122,46 @@ def correlation_matrix(
 ) -> DataFrame:
     """Pairwise Pearson correlations over the rows that have both values.
 
-    One aggregation holds the co-moments of the upper triangle; the one row that it gives
-    is mirrored into the matrix. Values are first centred on the column means (constants
-    from a pass before), which keeps plain sums accurate.
+    One aggregation, by which columns a row has, holds the upper triangle of products; a
+    pair adds up the groups that have both its columns, at most ``2**columns`` of them.
+    Values are first centred on the column means (constants from a pass before), which
+    keeps plain sums accurate.
     """
     columns = [c for c in columns if c in df.columns]
+    order = range(len(columns))
     means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns])
 
     def centred(c: str) -> Column:
         return F.col(c).cast("double") - F.coalesce(means.select(c).scalar(), F.lit(0.0))
 
     values = df.select(*[centred(c).alias(f"x{i}") for i, c in enumerate(columns)])
-    sums = {}
-    for j in range(len(columns)):
-        for i in range(j + 1):
-            x, y = F.col(f"x{i}"), F.col(f"x{j}")
-            both_x, both_y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-            moments = {"sx": both_x, "sy": both_y, "sxx": both_x * x, "syy": both_y * y, "sxy": x * y}
-            sums |= {f"{name}_{i}_{j}": F.sum(e) for name, e in moments.items()}
-            sums[f"n_{i}_{j}"] = F.count(both_x).cast("double")
-    upper = values.agg(*[e.alias(name) for name, e in sums.items()])
-
-    def cell(i: int, j: int) -> Column:
-        i, j = min(i, j), max(i, j)
-        parts = [F.col(f"{p}_{i}_{j}") for p in ("n", "sx", "sy", "sxx", "syy", "sxy")]
-        return round_half_up(_pearson(*parts), digits)
+    has = sum((F.when(F.col(f"x{i}").isNotNull(), 1 << i).otherwise(0) for i in order), F.lit(0).cast("long"))
+    x = [F.coalesce(F.col(f"x{i}"), F.lit(0.0)) for i in order]
+    sums = {f"s{i}": x[i] for i in order}
+    sums |= {f"p{i}_{j}": x[i] * x[j] for i in order for j in order if i <= j}
+    groups = values.groupBy(has.alias("has")).agg(
+        F.count("*").cast("double").alias("n"), *[F.sum(e).alias(name) for name, e in sums.items()]
+    )
 
-    order = range(len(columns))
-    rows = [(c, [cell(i, j) for j in order]) for i, c in enumerate(columns)]
-    return long_rows(upper, "Column", rows, columns)
+    def pair(i: int, j: int) -> Column:
+        both = (1 << i) | (1 << j)
+        product = F.col(f"p{min(i, j)}_{max(i, j)}")
+        moments = {"n": F.col("n"), "sx": F.col(f"s{i}"), "sy": F.col(f"s{j}"), "sxx": F.col(f"p{i}_{i}"),
+                   "syy": F.col(f"p{j}_{j}"), "sxy": product}
+        named = [F.lit(columns[i]).alias("Column"), F.lit(j).alias("j")]
+        entry = F.struct(*named, *[m.alias(name) for name, m in moments.items()])
+        return F.when(F.col("has").bitwiseAND(F.lit(both)) == both, entry)
+
+    pairs = groups.select(F.explode(F.array_compact(F.array(*[pair(i, j) for i in order for j in order]))).alias("e"))
+    names = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    summed = pairs.select("e.*").groupBy("Column", "j").agg(*[F.sum(m).alias(m) for m in names])
+    cells = summed.withColumn("r", round_half_up(_pearson(*[F.col(m) for m in names]), digits))
+    matrix = cells.groupBy("Column").agg(
+        *[F.max(F.when(F.col("j") == j, F.col("r"))).alias(c) for j, c in enumerate(columns)]
+    )
+    # A column without any value still has its row.
+    labels = fixed_rows(df.sparkSession, [(c,) for c in columns], "Column string")
+    return labels.join(matrix, "Column", "left")
 
 
 # Steps a reader counts in.

@@ -36,6 +36,7 @@ from ridelens.plans.layers import (
     shared_folder,
     silver,
     silver_alternative,
+    silver_rows,
 )
 from ridelens.sources import raw, sinks
 from ridelens.sources.derived import ROW_KEY, bookings_text
@@ -259,7 +260,11 @@ def _validation(df: DataFrame) -> DataFrame:
 
 def _cleaning_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiling.cleaning_summary(
-        bronze(spark, sf_dir), silver(spark, sf_dir), len(COLS), S.CLEAN_COLUMNS
+        bronze(spark, sf_dir),
+        silver(spark, sf_dir),
+        len(COLS),
+        S.CLEAN_COLUMNS,
+        silver_rows(spark, sf_dir),
     )
 
 

@@ -57,9 +57,8 @@ def materialise(
         digest = hashlib.sha256(key[2].encode()).hexdigest()[:16]
         path = f"{shared_folder(spark)}/ridelens/{app}/{name}-{digest}"
         df = build()
-        # Rebalancing gives each folder few files and splits the folders that hold much.
-        laid = df.hint("rebalance", *partitions) if partitions else df
-        laid.write.mode("overwrite").partitionBy(*partitions).parquet(path)
+        # No shuffle only for the layout: folders are few, so files stay large enough.
+        df.write.mode("overwrite").partitionBy(*partitions).parquet(path)
         _DONE[key] = (path, df.schema)
     path, schema = _DONE[key]
     return spark.read.schema(schema).parquet(path).select(*schema.names)
@@ -105,17 +104,22 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned bookings with the row key."""
+def silver_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned bookings with the row key, and the undated ones in a folder of their own."""
     return materialise(
         spark,
-        "silver",
+        "silver_rows",
         sf_dir,
-        lambda: cleaning.clean_bookings(bronze(spark, sf_dir)),
-        ["Year", "Month"],
+        lambda: cleaning.clean_bookings(bronze(spark, sf_dir), keep_invalid=True),
+        ["Year"],
     )
 
 
+def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned bookings with the row key. The filter leaves out one folder."""
+    return silver_rows(spark, sf_dir).filter("Year is not null")
+
+
 def silver_alternative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned bookings under the alternative rules."""
     return materialise(
