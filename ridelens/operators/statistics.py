@@ -143,20 +143,30 @@ def correlation_matrix(
         F.count("*").cast("double").alias("n"), *[F.sum(e).alias(name) for name, e in sums.items()]
     )
 
-    def pair(i: int, j: int) -> Column:
-        both = (1 << i) | (1 << j)
-        product = F.col(f"p{min(i, j)}_{max(i, j)}")
-        moments = {"n": F.col("n"), "sx": F.col(f"s{i}"), "sy": F.col(f"s{j}"), "sxx": F.col(f"p{i}_{i}"),
-                   "syy": F.col(f"p{j}_{j}"), "sxy": product}
-        named = [F.lit(columns[i]).alias("Column"), F.lit(j).alias("j")]
-        entry = F.struct(*named, *[m.alias(name) for name, m in moments.items()])
-        return F.when(F.col("has").bitwiseAND(F.lit(both)) == both, entry)
-
-    pairs = groups.select(F.explode(F.array_compact(F.array(*[pair(i, j) for i in order for j in order]))).alias("e"))
-    names = ("n", "sx", "sy", "sxx", "syy", "sxy")
-    summed = pairs.select("e.*").groupBy("Column", "j").agg(*[F.sum(m).alias(m) for m in names])
-    cells = summed.withColumn("r", round_half_up(_pearson(*[F.col(m) for m in names]), digits))
-    matrix = cells.groupBy("Column").agg(
+    k = len(columns)
+    packed = groups.select(
+        "has",
+        "n",
+        F.array(*[F.col(f"s{i}") for i in order]).alias("s"),
+        F.array(*[F.col(f"p{i}_{j}") for i in order for j in order if i <= j]).alias("p"),
+        F.explode(F.sequence(F.lit(0), F.lit(k * k - 1))).alias("cell"),
+    ).select("*", F.expr(f"cell div {k}").cast("int").alias("i"), (F.col("cell") % k).cast("int").alias("j"))
+
+    def product(i: str, j: str) -> Column:
+        """The sum of products of two columns, at its place in the triangle's rows."""
+        low, high = F.least(F.col(i), F.col(j)), F.greatest(F.col(i), F.col(j))
+        before = low * k - F.expr(f"least({i}, {j}) * (least({i}, {j}) - 1) div 2")
+        return F.element_at("p", (before + high - low + 1).cast("int"))
+
+    moments = {
+        "n": F.col("n"), "sx": F.element_at("s", F.col("i") + 1), "sy": F.element_at("s", F.col("j") + 1),
+        "sxx": product("i", "i"), "syy": product("j", "j"), "sxy": product("i", "j"),
+    }
+    both = packed.filter("shiftright(has, i) & shiftright(has, j) & 1 = 1")
+    summed = both.groupBy("i", "j").agg(*[F.sum(m).alias(name) for name, m in moments.items()])
+    r = round_half_up(_pearson(*[F.col(m) for m in moments]), digits)
+    named = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("i") + 1).alias("Column")
+    matrix = summed.select(named, "j", r.alias("r")).groupBy("Column").agg(
         *[F.max(F.when(F.col("j") == j, F.col("r"))).alias(c) for j, c in enumerate(columns)]
     )
     # A column without any value still has its row.
