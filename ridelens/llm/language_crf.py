@@ -15,6 +15,7 @@ from __future__ import annotations
 import io
 import json
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ridelens.llm.tables import held_out, table
+from ridelens.llm.tables import held_out, stored, table
 
 #: Most documents per language that training reads, drawn by a hash of their id.
 DOCS_PER_LANGUAGE = 500
@@ -48,7 +49,21 @@ LONGEST = 32
 BLOCK = 32
 WORDS_AT_ONCE = 300_000
 _MOST_CACHED = 500_000
-_WORD = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
+
+
+def _number_signs() -> str:
+    """Signs such as superscripts and fractions: alphanumeric, neither letters nor digits,
+    as ranges of a character class."""
+    signs = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not (c.isalpha() or c.isdecimal())]
+    ranges, start = [], 0
+    for i in range(1, len(signs) + 1):
+        if i == len(signs) or ord(signs[i]) != ord(signs[i - 1]) + 1:
+            ranges.append(f"{signs[start]}-{signs[i - 1]}")
+            start = i
+    return "".join(ranges)
+
+
+_WORD = re.compile(rf"[^\W\d_{_number_signs()}]{{1,{LONGEST}}}")
 _START, _END = 2, 3
 
 
@@ -187,13 +202,30 @@ def _training_text(
     return rows, tags
 
 
+def _in_turn(documents: list[list[str]]) -> list[str]:
+    """The words of all documents, a window of each in turn, so that none crowds out others."""
+    longest = max(map(len, documents))
+    return [
+        word
+        for start in range(0, longest, SEQUENCE_WORDS)
+        for document in documents
+        for word in document[start : start + SEQUENCE_WORDS]
+    ]
+
+
 def fit(texts: list[str | None], languages: list[str]) -> Model:
-    """A model from texts and the language of each; texts without letters do not count."""
-    streams: dict[str, list[str]] = {}
+    """A model from texts and the language of each; texts without letters do not count.
+
+    All words count for the lexicon. The weights are trained on ``SEQUENCES`` times
+    ``SEQUENCE_WORDS`` words, the languages alike, read from windows of all texts in turn:
+    every text gives its first window before any gives a second one.
+    """
+    by_language: dict[str, list[list[str]]] = {}
     for text, language in zip(texts, languages, strict=True):
         found = words_of(text)
         if found:
-            streams.setdefault(language, []).extend(found)
+            by_language.setdefault(language, []).append(found)
+    streams = {name: _in_turn(documents) for name, documents in by_language.items()}
     names = sorted(streams)
     labels = max(1, len(names))
     lexicon: dict[str, list[int]] = {}
@@ -344,18 +376,31 @@ def train(
 ) -> Model:
     """A model from documents that are not held out and have a language.
 
-    Reads at most ``docs_per_language`` documents of each language, drawn by a hash of
-    the id, in one task: the sample does not grow with the corpus. Without any labelled
-    document the model knows only the unknown language.
+    Reads at most ``docs_per_language`` documents of each language, those with the
+    smallest hashes of their id, in one task, and trains weights on 384,000 words of
+    windows from all of them in turn: neither grows with the corpus. More than
+    ``MOST_LANGUAGES`` languages are refused. Without any labelled document the model
+    knows only the unknown language.
     """
     keyed = docs.select(
         docs[id_col].alias("_id"), docs[lang_col].cast("string").alias("_lang"), docs[text_col].cast("string").alias("_text")
     ).filter(F.col("_lang").isNotNull() & ~held_out(F.col("_id")))
     order = F.xxhash64(F.lit(SEED), F.col("_id"))
+    # Only ids below a bound of the hash are ranked, about four times as many as are drawn,
+    # so the rows that meet per language do not grow with the tasks. The counts are stored:
+    # their size is known when they are joined.
+    counts = stored(keyed.groupBy("_lang").agg(F.count("*").alias("_rows")), "languages")
+    most = counts.count()
+    if most > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: {most}")
+    share = order.cast("double") / 2.0**64 + 0.5
+    near = keyed.select("_id", "_lang").join(counts, "_lang").filter(
+        share * F.col("_rows") < 4.0 * docs_per_language + 100
+    )
     # Spark keeps the first rows of each language in every task before it shuffles.
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(order, "_id"))
     drawn = (
-        keyed.select("_id", "_lang")
+        near.select("_id", "_lang")
         .withColumn("_rank", rank)
         .filter(F.col("_rank") <= docs_per_language)
         .select(F.col("_id").alias("_drawn"), F.col("_lang").alias("_drawn_lang"))
@@ -367,8 +412,6 @@ def train(
 
     def learn(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["_order", "_id"])
-        if part["_lang"].nunique() > MOST_LANGUAGES:
-            raise ValueError(f"more than {MOST_LANGUAGES} languages")
         model = fit(part["_text"].tolist(), part["_lang"].tolist())
         return pd.DataFrame({"model": [model.to_bytes()]})
 

@@ -61,7 +61,8 @@ def rake(
     Wanted totals per marginal: shares of ``keep`` times all tokens, in proportion to
     the square root of the tokens that a value has, or to ``targets[dimension]`` where
     given (values it leaves out want nothing). After each round no cell wants more
-    than it has; what is cut there goes to the other cells in the next round. A
+    than it has; what is cut there goes to the other cells in the next round. The rounds
+    are a fixed number; ``residuals`` tells how far each marginal then is from its target. A
     marginal that cannot be met with the tokens there are is met as far as it goes.
     """
     out = cells
@@ -97,22 +98,31 @@ def rake(
     return out.select(*cells.columns, F.round(share, 6).alias("_mix_probability"))
 
 
-def _with_cells(docs: DataFrame, topic: Column | None) -> DataFrame:
+_OUT = ("source", "lang", "topic", "tokens", "probability", "kept")
+
+
+def _with_cells(docs: DataFrame, topic: Column | None) -> tuple[DataFrame, str]:
+    """``docs`` with the cell of each row, and the prefix of the new columns' names, which
+    no column of ``docs`` begins with."""
+    prefix = "_mix_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+
     def value(name: str) -> Column:
         return F.coalesce(docs[name].cast("string"), F.lit(""))
 
-    return docs.select(
-        *[docs[c] for c in docs.columns if not c.startswith("_mix_")],
-        value("source").alias("_mix_source"),
-        value("lang").alias("_mix_lang"),
-        F.coalesce(topic_of(docs["text"]) if topic is None else topic, F.lit("")).alias(
-            "_mix_topic"
-        ),
-        token_count(docs["text"]).alias("_mix_tokens"),
+    about = topic_of(docs["text"]) if topic is None else topic
+    rows = docs.select(
+        *[docs[c] for c in docs.columns],
+        value("source").alias(prefix + "source"),
+        value("lang").alias(prefix + "lang"),
+        F.coalesce(about, F.lit("")).alias(prefix + "topic"),
+        token_count(docs["text"]).alias(prefix + "tokens"),
     )
+    return rows, prefix
 
 
-def mix(
+def _mixed(
     docs: DataFrame,
     *,
     topic: Column | None = None,
@@ -120,39 +130,73 @@ def mix(
     rounds: int = ROUNDS,
     seed: str = SEED,
     targets: Mapping[str, Mapping[str, float]] | None = None,
-) -> DataFrame:
+) -> tuple[DataFrame, str]:
+    rows, prefix = _with_cells(docs, topic)
+    cells = rows.groupBy(*[F.col(prefix + d).alias(d) for d in DIMENSIONS]).agg(
+        F.sum(prefix + "tokens").alias("tokens")
+    )
+    chances = stored(rake(stored(cells, "cells"), keep=keep, rounds=rounds, targets=targets), "chances")
+    chances = chances.select(
+        *[F.col(d).alias(prefix + d) for d in DIMENSIONS],
+        F.col("_mix_probability").alias(prefix + "probability"),
+    )
+    joined = rows.join(chances, [prefix + d for d in DIMENSIONS])
+    point = sampling_point(docs["doc_id"], seed)
+    return joined.withColumn(prefix + "kept", point < F.col(prefix + "probability")), prefix
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with _mix_source, _mix_lang, _mix_topic, _mix_tokens, _mix_probability and
-    _mix_kept.
+    _mix_kept. Options: topic, keep, rounds, seed, targets.
 
     Reads doc_id, text, source and lang; ``topic`` is any column expression, by default
     ``topic_of`` the text. A null source or language counts as the empty one, a null
     text as empty. A cell without tokens keeps its documents with probability ``keep``.
     Rows that repeat an id share their fate; a null id is sampled like an id of no
-    characters. Columns named ``_mix_...`` are replaced. Empty in, empty out. The cell table is written to the shared folder, so
-    its size is known when Spark chooses the join back.
+    characters. Columns that have one of the six names are replaced, all others stay.
+    Empty in, empty out. The cell table is written to the shared folder, so its size is
+    known when Spark chooses the join back.
     """
-    rows = _with_cells(docs, topic)
-    cells = rows.groupBy(
-        F.col("_mix_source").alias("source"),
-        F.col("_mix_lang").alias("lang"),
-        F.col("_mix_topic").alias("topic"),
-    ).agg(F.sum("_mix_tokens").alias("tokens"))
-    chances = stored(rake(stored(cells, "cells"), keep=keep, rounds=rounds, targets=targets), "chances")
-    chances = chances.select(
-        F.col("source").alias("_mix_source"),
-        F.col("lang").alias("_mix_lang"),
-        F.col("topic").alias("_mix_topic"),
-        "_mix_probability",
-    )
-    joined = rows.join(chances, ["_mix_source", "_mix_lang", "_mix_topic"])
-    point = sampling_point(F.col("doc_id"), seed)
-    kept = (point < F.col("_mix_probability")).alias("_mix_kept")
-    return joined.select(*rows.columns, "_mix_probability", kept)
+    joined, prefix = _mixed(docs, **options)
+    names = [f"_mix_{n}" for n in _OUT]
+    others = [c for c in docs.columns if c.lower() not in names]
+    return joined.select(*others, *[F.col(prefix + n).alias(f"_mix_{n}") for n in _OUT])
 
 
 def sampled(docs: DataFrame, **options) -> DataFrame:
-    """The documents that ``mix`` keeps, with all their columns."""
-    return mix(docs, **options).filter("_mix_kept").select(*docs.columns)
+    """The documents that ``mix`` keeps, with all their columns as they were."""
+    joined, prefix = _mixed(docs, **options)
+    return joined.filter(prefix + "kept").select(*docs.columns)
+
+
+def residuals(mixed: DataFrame, *, keep: float = KEEP) -> DataFrame:
+    """(dimension, value, wanted, expected, residual) of what ``mix`` returned, without
+    ``targets``: the tokens that each marginal value wants, those that the probabilities
+    keep on average, and their difference as a share of what is wanted.
+
+    Raking runs a fixed number of rounds, so a residual above zero also shows a marginal
+    that has not converged; one that wants more than there is cannot be met.
+    """
+    cells = stored(
+        mixed.groupBy("_mix_source", "_mix_lang", "_mix_topic").agg(
+            F.sum("_mix_tokens").cast("double").alias("tokens"),
+            F.sum(F.col("_mix_tokens") * F.col("_mix_probability")).alias("expected"),
+        ),
+        "mixed-cells",
+    )
+    total, out = cells.agg(F.sum("tokens")).scalar(), None
+    for d in DIMENSIONS:
+        per_value = cells.groupBy(F.col(f"_mix_{d}").alias("value")).agg(
+            F.sum("tokens").alias("tokens"), F.sum("expected").alias("expected")
+        )
+        wishes = per_value.agg(F.sum(F.sqrt("tokens"))).scalar()
+        wanted = F.try_divide(F.sqrt("tokens"), wishes) * total * keep
+        gap = F.try_divide(F.abs(F.col("expected") - wanted), wanted)
+        part = per_value.select(
+            F.lit(d).alias("dimension"), "value", wanted.alias("wanted"), "expected", gap.alias("residual")
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

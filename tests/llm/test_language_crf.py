@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from helpers import no_documents, odd_documents, odd_rows
 
-from ridelens.llm.language_crf import UNKNOWN, Labeller, Model, _residuals, fit, marginals, predict, train
+from ridelens.llm.language_crf import UNKNOWN, Labeller, Model, _residuals, fit, marginals, predict, train, words_of
 from ridelens.llm.tables import table
 
 EN = "the and with from this that which there other house water after night"
@@ -103,3 +103,21 @@ def test_held_out_accuracy(spark, sf_dir):
 def test_empty(spark, small_model):
     assert predict(no_documents(spark), small_model).collect() == []
     assert train(no_documents(spark)).languages == [UNKNOWN]
+
+
+@pytest.mark.parametrize("text", ["²", "½ ①", "12 34", "___", "Ⅷ ٣ 五"[:4]])
+def test_number_signs_are_no_letters(text):
+    assert words_of(text) == []
+
+
+def test_words_end_at_number_signs():
+    assert words_of("Ärger² x½y m③") == ["ärger", "x", "y", "m"]
+
+
+def test_training_words_come_from_all_documents_in_turn():
+    from ridelens.llm.language_crf import SEQUENCE_WORDS, _in_turn
+
+    long, short = ["l"] * 1000, ["s"] * 5
+    words = _in_turn([long, short, short])
+    assert len(words) == 1010
+    assert words[: SEQUENCE_WORDS + 10].count("s") == 10

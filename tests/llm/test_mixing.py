@@ -3,6 +3,7 @@ from collections import defaultdict
 from helpers import no_documents, odd_documents
 from pyspark.sql import functions as F
 
+from ridelens.llm import mixing
 from ridelens.llm.mixing import DIMENSIONS, mix, rake, sampled
 
 
@@ -59,3 +60,23 @@ def test_share_of_tokens(spark):
 
 def test_empty(spark):
     assert mix(no_documents(spark)).collect() == []
+
+
+def test_columns_with_the_operators_own_names(spark):
+    rows = [(i, "some words here", "en", "a", i, f"note {i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _mix_tokens long, _mix_note string")
+    kept = mixing.sampled(docs).collect()
+    assert 0 < len(kept) < 200
+    assert all(r._mix_tokens == r.doc_id and r._mix_note == f"note {r.doc_id}" for r in kept)
+    mixed = mixing.mix(docs).collect()
+    assert len(mixed) == 200 and all(r._mix_tokens == 3 and r._mix_note == f"note {r.doc_id}" for r in mixed)
+
+
+def test_residuals_show_how_far_the_marginals_are(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = mixing.residuals(mixing.mix(docs)).collect()
+    assert {r.dimension for r in rows} == set(mixing.DIMENSIONS)
+    for d in mixing.DIMENSIONS:
+        wanted = sum(r.wanted for r in rows if r.dimension == d)
+        got = sum(r.expected for r in rows if r.dimension == d)
+        assert got <= wanted * 1.01 and all(0 <= r.residual for r in rows)
