@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ridelens.llm.tables import stored, table
-from ridelens.llm.word_tokens import encoder
+from ridelens.llm.word_tokens import CACHED_BYTES, encoder
 
 WINDOW = 2048
 VOCABULARY = "word_bpe_49k.json"
@@ -116,12 +116,14 @@ def token_pieces(
     window: int = WINDOW,
     end_id: int = END_ID,
     with_ids: bool = False,
+    cached_bytes: int = CACHED_BYTES,
 ) -> DataFrame:
     """Token ids of each document, cut into pieces of at most ``window``.
 
     A document is its ids and then ``end_id``; null and empty text give ``end_id``
     alone. Only the last piece of a document can be shorter than the window.
-    ``with_ids`` adds the ids themselves as an array. The ids column keeps its type
+    ``with_ids`` adds the ids themselves as an array; ``cached_bytes`` bounds the words that
+    a Python worker remembers, more of them cost memory and spare time. The ids column keeps its type
     and may be null or repeated; other columns are not read.
     """
     schema = T.StructType(
@@ -138,7 +140,7 @@ def token_pieces(
     end, step = np.array([end_id], "<u4").tobytes(), window * 4
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_all
+        encode = encoder(vocabulary, cached_bytes).encode_all
         for batch in batches:
             names = batch.column("id")
             texts, at = batch.column("text"), 0
@@ -232,10 +234,14 @@ def sequences(packed: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataF
     )
 
 
-def pack_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, window: int = WINDOW, cached_bytes: int = CACHED_BYTES
+) -> DataFrame:
     """All documents as packed pieces: tokens first, written to the shared folder, then places."""
-    return pack(stored(token_pieces(docs, window=window), "pieces"), window)
+    pieces = token_pieces(docs, window=window, cached_bytes=cached_bytes)
+    return pack(stored(pieces, "pieces"), window)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    """All documents; no other stage's workers share the memory, so more words are remembered."""
+    return pack_documents(table(spark, sf_dir, "documents"), cached_bytes=256 << 20)

@@ -27,8 +27,8 @@ class WordEncoder:
     """``encode_all(texts)`` gives little-endian unsigned 32-bit ids as bytes.
 
     Both caches together are emptied after a call that took them past ``cached_bytes`` or
-    ``cached_words`` entries, counted while they
-    fill; what one call adds is bounded by the text it gets.
+    ``cached_words`` entries, counted while they fill; what one call adds is bounded by the
+    text it gets.
     """
 
     def __init__(
@@ -91,11 +91,14 @@ class WordEncoder:
         return out
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+#: What the caches of one encoder may hold by default.
+CACHED_BYTES = 96 << 20
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(vocabulary: str) -> WordEncoder:
+def encoder(vocabulary: str, cached_bytes: int = CACHED_BYTES) -> WordEncoder:
     """One encoder per worker process, kept between tasks."""
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = WordEncoder(vocabulary)
-    return _ENCODERS[vocabulary]
+    key = (vocabulary, cached_bytes)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = WordEncoder(vocabulary, cached_bytes, 2_000_000)
+    return _ENCODERS[key]
