@@ -256,19 +256,25 @@ def _first_pairs(members: DataFrame) -> DataFrame:
 
 
 def _open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Pairs of a bucket's members in different classes that may still be similar enough."""
+    """Pairs of a bucket's members in different classes that may still be similar enough.
+
+    Members outside the bucket's largest class meet all members, so the members of that
+    class, however many, never meet each other.
+    """
     rows = members.filter("n > 2").join(labels.withColumnRenamed("node", "id"), "id", "left").select(
         "key", "id", F.coalesce("class", "id").alias("class")
     )
     several = (
-        rows.groupBy("key")
-        .agg(F.min("class").alias("a"), F.max("class").alias("b"))
-        .filter(F.col("a") != F.col("b"))
-        .select("key")
+        rows.groupBy("key", "class")
+        .agg(F.count("*").alias("members"))
+        .groupBy("key")
+        .agg(F.count("*").alias("classes"), F.max(F.struct("members", "class"))["class"].alias("largest"))
+        .filter("classes > 1")
+        .select("key", "largest")
     )
     mine = rows.join(several, "key").join(sets.select("id", F.col("n").alias("size"), "sketch"), "id")
-    other = mine.select(
-        "key",
+    other = mine.filter(F.col("class") != F.col("largest")).select(
+        F.col("key").alias("k"),
         F.col("id").alias("u"),
         F.col("class").alias("of"),
         F.col("size").alias("u_size"),
@@ -281,14 +287,14 @@ def _open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, least: f
     # Similar enough means at most this many elements in just one of the two.
     most = (F.col("size") + F.col("u_size")) * ((1 - least) / (1 + least)) + 1e-6
     joined = mine.join(
-        other.withColumnRenamed("key", "k"),
+        other,
         (F.col("key") == F.col("k"))
         & (F.col("class") != F.col("of"))
-        & (F.col("u") < F.col("id"))
+        & ((F.col("class") == F.col("largest")) | (F.col("u") < F.col("id")))
         & (F.abs(F.col("size") - F.col("u_size")) <= most)
         & (differ <= most),
     )
-    return joined.select("u", F.col("id").alias("v")).distinct()
+    return joined.select(F.least("u", "id").alias("u"), F.greatest("u", "id").alias("v")).distinct()
 
 
 def near_duplicates(

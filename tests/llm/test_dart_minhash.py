@@ -115,6 +115,30 @@ def test_only_the_near_copy_of_a_repeated_id_goes(spark):
     assert sorted(map(tuple, left.collect()), key=str) == sorted(want, key=str)
 
 
+def test_open_pairs_of_a_bucket_with_one_large_class(spark):
+    """Every pair of different classes that is near enough, each once, none inside a class."""
+    sets, groups = {}, {}
+    for i in range(60):  # one class of forty, one of ten, ten members of their own
+        sets[i] = [*range(90), *range(1000 + i * 10, 1000 + i * 10 + (i % 12))]
+        groups[i] = 0 if i < 40 else 40 if i < 50 else i
+    docs = spark.createDataFrame(
+        [(i, " ".join(f"w{x}" for x in s)) for i, s in sets.items()], "id long, text string"
+    )
+    prepared = D._prepared(docs, 5, "set")
+    members = spark.createDataFrame([(7, i, 60) for i in sets] + [(8, i, 3) for i in (1, 45, 59)], "key long, id long, n long")
+    labels = spark.createDataFrame([(i, c) for i, c in groups.items() if i < 50], "node long, class long")
+    open_ = D._open_pairs(members, labels, prepared, 0.8)
+    got = [tuple(r) for r in open_.collect()]
+    assert len(got) == len(set(got)) and all(u < v and groups[u] != groups[v] for u, v in got)
+    near = {tuple(r) for r in D._verified(open_, prepared, 0.8).collect()}
+    texts = {r.id: shingle_set(r.text) for r in docs.collect()}
+    want = {
+        (u, v) for u, v in itertools.combinations(sorted(sets), 2)
+        if groups[u] != groups[v] and len(texts[u] & texts[v]) >= 0.8 * len(texts[u] | texts[v])
+    }
+    assert near == want and want
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 150)] + [(7, 7)]
     got = {r.node: r["class"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
