@@ -20,8 +20,10 @@ from pyspark.sql.window import Window
 from ridelens.llm.tables import count_at_most, literal_table, sortable, stored, table
 
 SHARDS = 16
-#: Ranges that the first boundaries make; a range is subdivided beyond twice the mean.
+#: Fewest ranges that the boundaries make; a range is subdivided beyond twice the mean.
 RANGES = 256
+#: Rows a range has on average, once there are more than ``RANGES`` times as many.
+RANGE_ROWS = 4_000_000
 #: Samples per wanted range.
 SAMPLES = 32
 #: A group of equal texts counts as large from this part of a shard on.
@@ -39,32 +41,33 @@ def _position() -> Column:
 def _splitters(rows: DataFrame, total: int, ranges: int) -> list[str]:
     """Boundaries so that no range holds over twice the mean beside its largest record.
 
-    Each round brings at most about ``ranges`` boundaries to the driver.
+    Each round brings at most about ``ranges`` boundaries to the driver. A round whose
+    samples show no new boundary cuts each overfull range before its last position, so
+    every round divides something and the promise holds when they end.
     """
-    mean, found, turn = max(1, total / ranges), [], 0
+    mean, found, turn = max(1, total / ranges), [], 0  # the turn draws another sample
     while True:
         ranged = rows.withColumn("_range", count_at_most(F.col("_at"), found))
         sizes = ranged.groupBy("_range").agg(
             (F.sum("size") - F.max("size")).alias("bytes"),
-            (F.min("_at") != F.max("_at")).alias("divisible"),
+            F.min("_at").alias("low"),
+            F.max("_at").alias("high"),
         )
-        over = [r["_range"] for r in sizes.collect() if r.divisible and r.bytes > 2 * mean]
-        if not over:
+        last = {r["_range"]: r.high for r in sizes.collect() if r.low != r.high and r.bytes > 2 * mean}
+        if not last:
             return found
         weight = F.greatest(F.col("size").cast("double"), F.lit(mean / SAMPLES))
         point = F.shiftrightunsigned(F.xxhash64("_id", "_key", F.lit(turn)), 11) / F.lit(2.0**53)
         of_range = Window.partitionBy("_range").orderBy("_at")
         drawn = (
-            ranged.filter(F.col("_range").isin(over))
+            ranged.filter(F.col("_range").isin(list(last)))
             .filter(point < F.col("size") * SAMPLES / mean)
             .withColumn("_cut", F.floor((F.sum(weight).over(of_range) - weight) / mean))
         )
         cuts = drawn.groupBy("_range", "_cut").agg(F.min("_at").alias("at")).collect()
         new = {c["at"] for c in cuts} - set(found)
-        if not new and turn >= 20:  # positions that differ are drawn sooner or later
-            return found
         turn += 1
-        found = sorted(set(found) | new)
+        found = sorted(set(found) | (new or set(last.values())))
 
 
 def _levels(loads: list[int], fill: int) -> list[int]:
@@ -124,6 +127,7 @@ def assign_shards(
     id_col: str = "doc_id",
     text_col: str = "text",
     ranges: int = RANGES,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard for every row.
 
@@ -134,8 +138,9 @@ def assign_shards(
     counts as the smallest id; rows that repeat id and text each get a slot. Other
     columns are not read. Empty in, empty out.
 
-    What reaches the driver is bounded by ``ranges`` and ``shards``: boundaries, range
-    sizes, and at most ``shards / LARGE`` large groups.
+    There are about ``ranges`` ranges, or as many more as it takes for ``range_rows`` rows
+    each, so that no task orders more with the corpus. What reaches the driver is that many
+    boundaries and range sizes, and at most ``shards / LARGE`` large groups.
     """
     spark = docs.sparkSession
     text = docs[text_col].cast("string")
@@ -149,7 +154,8 @@ def assign_shards(
         ),
         "sizes",
     )
-    total = slim.agg(F.sum("size")).first()[0] or 0
+    n_rows, total = slim.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    ranges = max(ranges, n_rows // range_rows)
     target = total / shards
     large = (
         slim.groupBy("_key")
