@@ -183,8 +183,10 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = pieces.sparkSession
     # At most `window` rows come to the driver.
     counts = {r.length: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    runs = max([1, *(math.ceil(c / RUN_ROWS) for c in counts.values())])
-    run = F.pmod(F.xxhash64("doc_id", "start"), F.lit(runs))
+    # Runs per length, in a constant array: a rare length is one run. The crc spreads null ids.
+    runs = [max(1, math.ceil(counts.get(n, 0) / RUN_ROWS)) for n in range(1, window + 1)]
+    of_length = F.split(F.lit(",".join(map(str, runs))), ",").cast("array<bigint>")
+    run = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.element_at(of_length, F.col("length").cast("int")))
     numbered = pieces.withColumn("_run", run)
     before = (
         numbered.groupBy("length", "_run")
