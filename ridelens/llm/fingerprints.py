@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridelens.llm.shingles import WORDS, shingles
+from ridelens.llm.shingles import WORDS, mixed, shingles_of_words, word_hashes
 from ridelens.llm.tables import count_at_most, sortable, table
 
 K = 256
@@ -27,13 +27,35 @@ _BYTES = 6
 _SPAN = 2.0 ** (8 * _BYTES)
 SALTS = 64
 _ROWS_AT_ONCE = 500
-#: Most text that one run of documents has, as far as the approximate quantiles go.
+#: Most text that one run of documents has, as far as the approximate quantiles go and
+#: while there are no more than ``MOST_RUNS`` runs. A run is streamed, so a longer one
+#: costs no memory, only a longer task.
 RUN_BYTES = 1 << 28
+MOST_RUNS = 16_384
+#: Characters in a shingle of a text that has too few words.
+CHARACTERS = 5
+_CHARACTER_SEED = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def text_shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The hashes of the different shingles of a text, sorted.
+
+    Shingles are runs of ``words`` words. A text with fewer, such as one of signs or one
+    written without spaces, has runs of ``CHARACTERS`` characters instead, lower-cased and
+    with white space as one blank; a text shorter than that is one shingle, one of white
+    space only and an empty one have none.
+    """
+    hashes = word_hashes(text)
+    if len(hashes) >= words:
+        return np.unique(shingles_of_words(hashes, words))
+    plain = " ".join((text or "").lower().split())
+    points = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    return np.unique(shingles_of_words(mixed(points + _CHARACTER_SEED), CHARACTERS))
 
 
 def sketch(text: str | None, k: int = K, words: int = WORDS) -> np.ndarray:
-    """The ``k`` smallest different 48-bit shingle hashes, sorted; empty without words."""
-    hashes = shingles(text, words)  # sorted, so the upper bits are sorted too
+    """The ``k`` smallest different 48-bit hashes of ``text_shingles``, sorted."""
+    hashes = text_shingles(text, words)  # sorted, so the upper bits are sorted too
     upper = hashes[: k + 8] >> np.uint64(64 - 8 * _BYTES)
     return np.unique(upper)[:k]
 
@@ -169,14 +191,15 @@ def fingerprint_documents(
 
     The next document follows in ascending id (the first after the last; a single one
     follows itself); a null id comes first, rows that repeat an id follow each other in
-    the order of their text's hash. A null text is empty; two empty texts have likeness
-    1. Other columns are not read. Empty in, empty out.
+    the order of their text's hash. A null text is empty; two texts without any sign but
+    white space have likeness 1. Texts of fewer than five words are compared by their
+    characters. Other columns are not read. Empty in, empty out.
 
     Texts move once, into runs of ascending ids; the first document of each run also
     goes to the end of the run before it, so every run is measured by itself. The
     boundaries between runs are approximate quantiles of the ids; ``runs`` is the
     session's number of shuffle partitions, or more so that a run has at most
-    ``RUN_BYTES``.
+    ``RUN_BYTES``, up to ``MOST_RUNS``: so many ids reach the driver at most.
     """
     kind = docs.schema[id_col].dataType
     fields = _fields(kind)
@@ -241,7 +264,8 @@ def _run_starts(docs: DataFrame, doc_id: Column, text: Column) -> list[str]:
     rows, size, least = docs.agg(F.count("*"), F.sum(F.octet_length(text)), F.min(key)).first()
     if not rows:
         return []
-    runs = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RUN_BYTES)
+    least_runs = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = max(least_runs, min(MOST_RUNS, size // RUN_BYTES))
     shares = [i / runs for i in range(1, runs)]
     cuts = docs.agg(F.percentile_approx(key, shares, 20 * runs)).first()[0] if shares else []
     return [_sortable_number(x) for x in sorted({least, *(cuts or [])})]

@@ -1,15 +1,24 @@
 import hashlib
+import re
 
 import numpy as np
 from helpers import no_documents, odd_documents, odd_rows
 from pyspark.sql import functions as F
 
 from ridelens.llm import fingerprints as P
-from ridelens.llm.shingles import shingles
+from ridelens.llm.tables import table
+
+
+def shingle_set(text):
+    words = re.findall(r"\w+", text.lower())
+    if len(words) >= 5:
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    plain = " ".join(text.lower().split())
+    return {plain[i : i + 5] for i in range(max(1, len(plain) - 4))} if plain else set()
 
 
 def exact(a, b):
-    a, b = set(shingles(a).tolist()), set(shingles(b).tolist())
+    a, b = shingle_set(a), shingle_set(b)
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
@@ -23,6 +32,18 @@ def test_estimates():
     assert P.distinct_count(P.sketch("a b c d e f")) == 2
 
 
+def test_texts_of_few_words_are_compared_by_characters():
+    def like(a, b):
+        return P.resemblance(P.sketch(a), P.sketch(b))
+
+    assert like("!!!", "???") == like("", "x") == like("one two", "three four") == 0
+    assert like("", None) == like(" \n", "") == like("Hello  World", "hello world") == 1
+    assert like("\ud800!", "\ud800!") == 1  # a lone surrogate is a sign like any other
+    first = "吾輩は猫である名前はまだ無いどこで生れたかとんと見当がつかぬ"
+    for a, b in [(first + "何でも薄暗い所", first + "今は昔のことなり"), ("!!! ??? ***", "!!! ??? +++")]:
+        assert like(a, b) == exact(a, b) > 0.2
+
+
 def test_merged_parts_are_the_whole():
     a, b = "one two three four five six", "seven eight nine ten eleven twelve"
     both = np.unique(np.concatenate([P.sketch(a), P.sketch(b)]))
@@ -67,6 +88,20 @@ def test_any_number_of_runs(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_whole_table_by_brute_force(spark, sf_dir):
+    docs = [tuple(r) for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
+    check(docs, P.op10_fingerprints(spark, sf_dir).collect())
+
+
+def test_no_more_runs_than_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(P, "RUN_BYTES", 10)
+    monkeypatch.setattr(P, "MOST_RUNS", 20)
+    docs = [(i, f"text {i} " * (i % 50)) for i in range(300)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert len(P._run_starts(frame, frame["doc_id"], frame["text"])) <= 21
+    check(docs, P.fingerprint_documents(frame).collect())
+
+
 def test_one_document_follows_itself(spark):
     docs = [(5, "a b c d e f g h")]
     check(docs, P.fingerprint_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect())
