@@ -4,7 +4,8 @@ Documents fall into cells of source, language and topic. Token counts per cell a
 raked to the wanted totals of each of the three marginals in turn, and a cell's share
 of tokens to keep becomes the probability that one of its documents is kept. Raking
 works on the cells, which are counted with partial aggregation first: a source with a
-third of all rows is a few counted cells.
+third of all rows is a few counted cells. The totals of a marginal are grouped sums that
+are joined back to the cells, so a language that most cells have is no single task.
 """
 
 from __future__ import annotations
@@ -13,14 +14,15 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ridelens.llm.tables import stored, table
 
 #: Share of all tokens that the mix keeps.
 KEEP = 0.5
-#: Rounds over the three marginals.
-ROUNDS = 8
+#: Raking ends with the first round that moves at most this share of all tokens,
+TOLERANCE = 1e-4
+#: or after so many rounds over the three marginals.
+ROUNDS = 100
 SEED = "mix-1"
 DIMENSIONS = ("source", "lang", "topic")
 _TOKEN = r"[^ \t\n\x0B\f\r]+"  # noqa: S105
@@ -54,6 +56,7 @@ def rake(
     *,
     keep: float = KEEP,
     rounds: int = ROUNDS,
+    tolerance: float = TOLERANCE,
     targets: Mapping[str, Mapping[str, float]] | None = None,
 ) -> DataFrame:
     """``cells`` (source, lang, topic, tokens) with ``_mix_probability``.
@@ -61,41 +64,50 @@ def rake(
     Wanted totals per marginal: shares of ``keep`` times all tokens, in proportion to
     the square root of the tokens that a value has, or to ``targets[dimension]`` where
     given (values it leaves out want nothing). After each round no cell wants more
-    than it has; what is cut there goes to the other cells in the next round. The rounds
-    are a fixed number; ``residuals`` tells how far each marginal then is from its target. A
-    marginal that cannot be met with the tokens there are is met as far as it goes.
+    than it has; what is cut there goes to the other cells in the next round. Rounds end
+    when one moves at most ``tolerance`` of all tokens, or after ``rounds``; each is
+    written to the shared folder. A marginal that cannot be met with the tokens there are
+    is met as far as it goes, which ``residuals`` shows.
     """
-    out = cells
-    # Totals over all cells come from a scalar subquery, not from one window.
-    total = cells.agg(F.sum("tokens").cast("double")).scalar()
+    total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 0.0
+    tokens = F.col("tokens").cast("double")
+    state = cells.withColumn("_w", tokens * keep)
     for d in DIMENSIONS:
-        has = F.sum("tokens").over(Window.partitionBy(d)).cast("double")
         wish = (targets or {}).get(d)
         if wish is None:
-            want = F.sqrt(has)
+            want = F.sqrt(F.col("_has").cast("double"))
         else:
             want = F.lit(0.0)
             for value, share in wish.items():
-                want = F.when(F.col(d) == value, F.lit(float(share))).otherwise(want)
-        out = out.withColumn(f"_want_{d}", want)
-    sums = [
-        # Each value's wish once, whatever the number of its cells.
-        out.groupBy(d).agg(F.first(f"_want_{d}").alias("w")).agg(F.sum("w")).scalar()
-        for d in DIMENSIONS
-    ]
-    for d, s in zip(DIMENSIONS, sums, strict=True):
-        out = out.withColumn(f"_want_{d}", F.try_divide(F.col(f"_want_{d}"), s) * total * keep)
-    tokens = F.col("tokens").cast("double")
-    out = out.withColumn("_w", tokens * keep)
+                want = F.when(F.col("_value") == value, F.lit(float(share))).otherwise(want)
+        values = cells.groupBy(F.col(d).alias("_value")).agg(F.sum("tokens").alias("_has"))
+        values = values.select("_value", want.alias("_wish"))
+        wishes = values.agg(F.sum("_wish")).scalar()
+        scaled = F.try_divide(F.col("_wish"), wishes) * total * keep
+        values = values.select("_value", scaled.alias(f"_want_{d}"))
+        state = state.join(values, F.col(d).eqNullSafe(F.col("_value"))).drop("_value")
+    state = stored(state, "raked")
     for _ in range(rounds):
-        for d in DIMENSIONS:
-            now = F.sum("_w").over(Window.partitionBy(d))
-            out = out.withColumn(
-                "_w", F.coalesce(F.try_divide(F.col("_w") * F.col(f"_want_{d}"), now), F.lit(0.0))
-            )
-        out = out.withColumn("_w", F.least("_w", tokens))
+        state = stored(_raked_once(state), "raked")
+        moved = state.agg(F.sum(F.abs(F.col("_w") - F.col("_before")))).first()[0]
+        if not moved or moved <= tolerance * total:
+            break
     share = F.coalesce(F.try_divide(F.col("_w"), tokens), F.lit(keep))
-    return out.select(*cells.columns, F.round(share, 6).alias("_mix_probability"))
+    return state.select(*cells.columns, F.round(share, 6).alias("_mix_probability"))
+
+
+def _raked_once(state: DataFrame) -> DataFrame:
+    """One round: the weights ``_w`` scaled to each marginal in turn, then cut to the tokens."""
+    state = state.withColumn("_before", F.col("_w"))
+    for d in DIMENSIONS:
+        sums = state.groupBy(F.col(d).alias("_value")).agg(F.sum("_w").alias("_now"))
+        scaled = F.try_divide(F.col("_w") * F.col(f"_want_{d}"), F.col("_now"))
+        state = (
+            state.join(sums, F.col(d).eqNullSafe(F.col("_value")))
+            .withColumn("_w", F.coalesce(scaled, F.lit(0.0)))
+            .drop("_value", "_now")
+        )
+    return state.withColumn("_w", F.least("_w", F.col("tokens").cast("double")))
 
 
 _OUT = ("source", "lang", "topic", "tokens", "probability", "kept")
@@ -128,6 +140,7 @@ def _mixed(
     topic: Column | None = None,
     keep: float = KEEP,
     rounds: int = ROUNDS,
+    tolerance: float = TOLERANCE,
     seed: str = SEED,
     targets: Mapping[str, Mapping[str, float]] | None = None,
 ) -> tuple[DataFrame, str]:
@@ -135,8 +148,8 @@ def _mixed(
     cells = rows.groupBy(*[F.col(prefix + d).alias(d) for d in DIMENSIONS]).agg(
         F.sum(prefix + "tokens").alias("tokens")
     )
-    chances = stored(rake(stored(cells, "cells"), keep=keep, rounds=rounds, targets=targets), "chances")
-    chances = chances.select(
+    cells = stored(cells, "cells")
+    chances = rake(cells, keep=keep, rounds=rounds, tolerance=tolerance, targets=targets).select(
         *[F.col(d).alias(prefix + d) for d in DIMENSIONS],
         F.col("_mix_probability").alias(prefix + "probability"),
     )
@@ -147,7 +160,7 @@ def _mixed(
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with _mix_source, _mix_lang, _mix_topic, _mix_tokens, _mix_probability and
-    _mix_kept. Options: topic, keep, rounds, seed, targets.
+    _mix_kept. Options: topic, keep, rounds, tolerance, seed, targets.
 
     Reads doc_id, text, source and lang; ``topic`` is any column expression, by default
     ``topic_of`` the text. A null source or language counts as the empty one, a null
@@ -174,8 +187,8 @@ def residuals(mixed: DataFrame, *, keep: float = KEEP) -> DataFrame:
     ``targets``: the tokens that each marginal value wants, those that the probabilities
     keep on average, and their difference as a share of what is wanted.
 
-    Raking runs a fixed number of rounds, so a residual above zero also shows a marginal
-    that has not converged; one that wants more than there is cannot be met.
+    Raking ends within its tolerance, so a residual well above it shows a marginal that
+    wants more than there is.
     """
     cells = stored(
         mixed.groupBy("_mix_source", "_mix_lang", "_mix_topic").agg(
@@ -213,16 +226,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    steps, name = [], "start"
-    for i in range(ROUNDS):
-        for d in DIMENSIONS:
-            cap = "least(tokens, x)" if d == DIMENSIONS[-1] else "x"
-            steps.append(
-                f"r{i}_{d} AS (SELECT * EXCLUDE (w, x), {cap} AS w FROM (SELECT *, "
-                f"coalesce(w * want_{d} / nullif(sum(w) OVER (PARTITION BY {d}), 0), 0) AS x "
-                f"FROM {name}))"
-            )
-            name = f"r{i}_{d}"
+    once = f"SELECT * FROM rounds WHERE round < {ROUNDS} AND moved > {TOLERANCE} * total"
+    for d in DIMENSIONS:
+        once = (
+            f"SELECT * REPLACE (coalesce(w * want_{d} / nullif(sum(w) OVER (PARTITION BY {d}), 0), 0)"
+            f" AS w) FROM ({once})"
+        )
+    once = f"SELECT * REPLACE (least(tokens, w) AS w) FROM ({once})"
     wants = ", ".join(
         f"sqrt(sum(tokens) OVER (PARTITION BY {d})::DOUBLE) AS has_{d}" for d in DIMENSIONS
     )
@@ -235,7 +245,7 @@ def _sql() -> str:
         for d in DIMENSIONS
     )
     return rf"""
-WITH docs AS (
+WITH RECURSIVE docs AS (
   SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
     CASE WHEN contains(coalesce(text, ''), ' | ') THEN 'table'
          WHEN contains(coalesce(text, ''), '@') THEN 'contact'
@@ -250,9 +260,15 @@ WITH docs AS (
 ), sums AS (SELECT *, {totals} FROM wish
 ), start AS (SELECT source, lang, topic, tokens::DOUBLE AS tokens, {scaled},
     tokens::DOUBLE * {KEEP} AS w FROM sums
-), {", ".join(steps)}, chance AS (
-  SELECT source, lang, topic,
-    round(coalesce(w / nullif(tokens, 0), {KEEP}), 6) AS probability FROM {name}
+), rounds AS (
+  SELECT *, w AS before, 0 AS round, 'infinity'::DOUBLE AS moved,
+    (SELECT sum(tokens)::DOUBLE FROM cells) AS total FROM start
+  UNION ALL
+  SELECT * REPLACE (w AS before, round + 1 AS round, sum(abs(w - before)) OVER () AS moved)
+  FROM ({once})
+), chance AS (
+  SELECT source, lang, topic, round(coalesce(w / nullif(tokens, 0), {KEEP}), 6) AS probability
+  FROM rounds QUALIFY round = max(round) OVER ()
 )
 SELECT d.doc_id, d.source, d.lang, d.topic, d.tokens, c.probability,
   ('0x' || substr(md5('{SEED}/' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT

@@ -29,6 +29,26 @@ def test_marginals_meet_their_targets(spark):
             assert abs(sums[value] / (0.2 * total) - share) < 0.01
 
 
+def test_rounds_end_within_the_tolerance(spark, monkeypatch):
+    seen, once = [], mixing._raked_once
+    monkeypatch.setattr(mixing, "_raked_once", lambda state: seen.append(1) or once(state))
+    cells = spark.createDataFrame(
+        [(s, g, t, 10 + 7 * i) for i, (s, g, t) in enumerate(
+            (s, g, t) for s in "abcd" for g in ("en", None) for t in "xy")],
+        "source string, lang string, topic string, tokens long",
+    )
+    fine = {r[:3]: r["_mix_probability"] for r in rake(cells, tolerance=1e-9).collect()}
+    rounds = len(seen)
+    coarse = {r[:3]: r["_mix_probability"] for r in rake(cells, tolerance=1e-3).collect()}
+    assert 0 < len(seen) - rounds < rounds < mixing.ROUNDS
+    assert len(fine) == 16 and all(abs(coarse[k] - p) < 0.01 for k, p in fine.items())
+    sums = defaultdict(float)
+    for r in cells.collect():
+        sums[r.lang] += r.tokens * fine[r[:3]]
+    has = [sum(r.tokens for r in cells.collect() if r.lang == g) for g in ("en", None)]
+    assert abs(sums["en"] / sums[None] - (has[0] / has[1]) ** 0.5) < 1e-4
+
+
 def test_values_without_a_target_are_left_out(spark):
     cells = spark.createDataFrame(
         [("a", "en", "x", 10), ("b", "en", "x", 10)], "source string, lang string, topic string, tokens long"
