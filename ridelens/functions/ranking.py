@@ -13,8 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts that a bucket with a wanted rank is cut into.
-SLICES = 4096
+#: Most cuts of a bucket with a wanted rank. There are about as many as the square root of
+#: its number of distinct values, so that a bucket has about as many pieces as a piece has
+#: values, up to 2**32 values; beyond that pieces grow and their sorting spills.
+MOST_CUTS = 1 << 16
+#: Every so many cuts are looked at first when a value looks for its piece.
+STRIDE = 256
 
 
 def magnitude_bucket(value: Column, per_unit: int = 256) -> Column:
@@ -62,63 +66,83 @@ def _holds_rank(start: str) -> Column:
     return (F.col(start) <= F.col("high")) & (F.col(start) + F.col("n") > F.col("low"))
 
 
+def _piece(value: Column, cuts: Column) -> Column:
+    """How many of the ascending ``cuts`` are at most ``value``, by two short looks."""
+    coarse = F.filter(cuts, lambda _, at: (at + 1) % STRIDE == 0)
+    passed = F.size(F.filter(coarse, lambda cut: cut <= value)) * STRIDE
+    near = F.slice(cuts, passed + 1, F.lit(STRIDE))
+    return passed + F.size(F.filter(near, lambda cut: cut <= value))
+
+
+def in_pieces(counts: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(column, bucket, piece, value, n): the counted values of ``buckets`` (column, bucket,
+    values), which are few, in ordered pieces with about equally many distinct values.
+
+    Cuts are values drawn by their hash, so a piece is as small however the values lie, and
+    a task that is run again cuts at the same places. With k cuts of m values, a piece of
+    more than ``20 * m / k`` values is not to be expected in any run.
+    """
+    key = ["column", "bucket"]
+    wanted = F.least(F.ceil(F.sqrt("values")), F.lit(MOST_CUTS))
+    drawn = F.pmod(F.xxhash64("value"), F.lit(1 << 52)) / float(1 << 52) < wanted / F.col("values")
+    # One row for each wanted bucket, of at most some MOST_CUTS values: bounded, so a dense
+    # bucket stays spread over the tasks that counted it.
+    inside = counts.join(F.broadcast(buckets), key)
+    cuts = inside.filter(drawn).groupBy(*key).agg(F.sort_array(F.collect_list("value")).alias("cuts"))
+    placed = inside.join(F.broadcast(cuts), key, "left")
+    # A small bucket may have drawn none: it is one piece.
+    piece = F.coalesce(_piece(F.col("value"), F.col("cuts")), F.lit(0))
+    return placed.select(*key, piece.alias("piece"), "value", "n")
+
+
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
 ) -> DataFrame:
     """(column, probability, quantile): exact, linear between neighbours.
 
-    Only the buckets that hold a wanted rank are looked at again. Such a bucket is cut
-    into ``SLICES`` equal parts of its own range, and only the part with the rank is
-    ordered, so a dense column does not gather in one task.
+    Only the buckets that hold a wanted rank are looked at again. Such a bucket is cut into
+    pieces of about equally many values, and only the piece with the rank is ordered, so
+    neither a dense column nor one that piles up at a point gathers in one task.
     """
-    # Stating that the bucket is present keeps both uses of ``counts`` the same plan,
-    # so that the counting runs once and its exchange is used twice.
+    # Stating that the bucket is present keeps all uses of ``counts`` the same plan,
+    # so that the counting runs once and its exchange is used again.
     counts = (
         value_counts_long(df, columns)
         .withColumn("bucket", magnitude_bucket(F.col("value")))
+        .withColumn("values", F.lit(1))
         .filter(F.col("bucket").isNotNull())
     )
     probs = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
     rank = F.col("probability") * (F.col("n_total") - 1)
-    bounds = counts.groupBy("column", "bucket").agg(
-        F.min("value").alias("low_value"), F.max("value").alias("high_value")
-    )
     wanted = (
-        bucket_starts(counts, ["column"], "bucket", ["n"])
+        bucket_starts(counts, ["column"], "bucket", ["n", "values"])
         .withColumn("probability", probs)
         .withColumns({"rank": rank, "low": F.floor(rank), "high": F.ceil(rank)})
         .filter(_holds_rank("n_start"))
-        .join(bounds, ["column", "bucket"])
-        .drop("n", "n_total")
     )
-    key = ["column", "bucket", "probability"]
-    part = F.try_divide(
-        F.col("value") - F.col("low_value"), F.col("high_value") - F.col("low_value")
-    )
-    slice_ = F.coalesce(F.floor(part * SLICES), F.lit(0)).alias("slice")
-    inside = counts.join(wanted.select(*key, "low_value", "high_value"), ["column", "bucket"])
-    inside = inside.select(*key, slice_, "value", "n")
-    earlier = Window.partitionBy(*key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = (
-        inside.groupBy(*key, "slice")
+    key = ["column", "bucket"]
+    buckets = wanted.groupBy(*key).agg(F.max("values").alias("values"))
+    inside = in_pieces(counts.drop("values"), buckets)
+    earlier = Window.partitionBy(*key).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = (
+        inside.groupBy(*key, "piece")
         .agg(F.sum("n").alias("n"))
-        .withColumn("slice_start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        .join(wanted.select(*key, "rank", "low", "high", "n_start"), key)
-        .withColumn("slice_start", F.col("n_start") + F.col("slice_start"))
-        .filter(_holds_rank("slice_start"))
-        .select(*key, "slice", "rank", "low", "high", "slice_start")
+        .withColumn("piece_start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        .join(F.broadcast(wanted.select(*key, "probability", "rank", "low", "high", "n_start")), key)
+        .withColumn("piece_start", F.col("n_start") + F.col("piece_start"))
+        .filter(_holds_rank("piece_start"))
+        .select(*key, "piece", "probability", "rank", "low", "high", "piece_start")
     )
+    # At most two pieces hold the two neighbours of a rank.
     within = (
-        Window.partitionBy(*key, "slice")
+        Window.partitionBy(*key, "piece", "probability")
         .orderBy("value")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    placed = inside.join(slices, [*key, "slice"]).withColumn(
-        "before", F.col("slice_start") + F.coalesce(F.sum("n").over(within), F.lit(0))
-    )
-    hits = placed.filter(
-        (F.col("before") <= F.col("high")) & (F.col("before") + F.col("n") > F.col("low"))
+    placed = inside.join(F.broadcast(pieces), [*key, "piece"]).withColumn(
+        "before", F.col("piece_start") + F.coalesce(F.sum("n").over(within), F.lit(0))
     )
+    hits = placed.filter(_holds_rank("before"))
     low, high = F.min("value"), F.max("value")
     part = F.max(F.col("rank") - F.col("low"))
     return hits.groupBy("column", "probability").agg((low + (high - low) * part).alias("quantile"))

@@ -415,6 +415,37 @@ def test_quantiles_of_a_dense_column(spark, low, width):
         assert abs(q - (below + (above - below) * (at - int(at)))) <= 1e-9 * max(1, abs(q))
 
 
+def piled_up(spark, n=30_000):
+    """Values that halve every 35 rows, down to 1e-258: all in one bucket, near its start."""
+    return spark.range(n).select(F.exp(-F.col("id") / 50).alias("v"))
+
+
+def test_quantiles_of_values_that_pile_up(spark):
+    values = piled_up(spark)
+    ordered = sorted(r.v for r in values.collect())
+    for r in ranking.exact_quantiles(values, ["v"], [0.0, 0.1, 0.5, 0.999, 1.0]).collect():
+        assert r.quantile == pytest.approx(quantile(ordered, r.probability), rel=1e-9)
+
+
+@pytest.mark.parametrize("n", [1, 40, 30_000])
+def test_pieces_are_small_ordered_and_whole(spark, n):
+    counts = ranking.value_counts_long(piled_up(spark, n), ["v"]).withColumn("bucket", F.lit(0))
+    buckets = spark.createDataFrame([("v", 0, n)], "column string, bucket int, values long")
+    placed = ranking.in_pieces(counts, buckets)
+    pieces = placed.groupBy("piece").agg(
+        F.count("*").alias("values"), F.min("value").alias("low"), F.max("value").alias("high")
+    ).orderBy("piece").collect()
+    assert sum(p["values"] for p in pieces) == n
+    assert max(p["values"] for p in pieces) <= max(40, 20 * n**0.5)
+    assert all(a["high"] < b["low"] for a, b in zip(pieces, pieces[1:], strict=False))
+
+
+def test_a_piece_is_found_among_many_cuts(spark):
+    cuts = F.sequence(F.lit(1), F.lit(1000))
+    values = spark.range(0, 1003).select("id", ranking._piece(F.col("id"), cuts).alias("piece"))
+    assert all(r.piece == min(r.id, 1000) for r in values.collect())
+
+
 def test_sums_of_any_size(spark):
     frame = spark.createDataFrame([(1e-7,), (2e-7,), (3e-7,)], "v double")
     assert abs(frame.agg(numbers.exact_mean(F.col("v"))).first()[0] - 2e-7) < 1e-20
