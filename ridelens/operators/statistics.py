@@ -106,14 +106,16 @@ def histogram_fixed(
     )
 
 
-# A sum of squares this much smaller than its parts is rounding, not variance.
-_NO_VARIANCE = 1e-12
-
+def _pearson(
+    n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column, varies: Column
+) -> Column:
+    """Correlation from sums; NULL unless both sides vary.
 
-def _pearson(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:
-    """Correlation from sums; NULL where a side does not vary."""
+    Whether they do is asked of the values: in long sums the rounding of a constant looks
+    like a small variance.
+    """
     vx, vy = n * sxx - sx * sx, n * syy - sy * sy
-    varies = (vx > n * sxx * _NO_VARIANCE) & (vy > n * syy * _NO_VARIANCE)
+    varies = varies & (vx > 0) & (vy > 0)
     return F.when(varies, F.try_divide(n * sxy - sx * sy, F.sqrt(vx) * F.sqrt(vy)))
 
 
@@ -140,13 +142,18 @@ def correlation_matrix(
     sums = {f"s{i}": x[i] for i in order}
     sums |= {f"p{i}_{j}": x[i] * x[j] for i in order for j in order if i <= j}
     groups = values.groupBy(has.alias("has")).agg(
-        F.count("*").cast("double").alias("n"), *[F.sum(e).alias(name) for name, e in sums.items()]
+        F.count("*").cast("double").alias("n"),
+        *[F.sum(e).alias(name) for name, e in sums.items()],
+        F.array(*[F.min(f"x{i}") for i in order]).alias("low"),
+        F.array(*[F.max(f"x{i}") for i in order]).alias("high"),
     )
 
     k = len(columns)
     packed = groups.select(
         "has",
         "n",
+        "low",
+        "high",
         F.array(*[F.col(f"s{i}") for i in order]).alias("s"),
         F.array(*[F.col(f"p{i}_{j}") for i in order for j in order if i <= j]).alias("p"),
         F.explode(F.sequence(F.lit(0), F.lit(k * k - 1))).alias("cell"),
@@ -163,8 +170,16 @@ def correlation_matrix(
         "sxx": product("i", "i"), "syy": product("j", "j"), "sxy": product("i", "j"),
     }
     both = packed.filter("shiftright(has, i) & shiftright(has, j) & 1 = 1")
-    summed = both.groupBy("i", "j").agg(*[F.sum(m).alias(name) for name, m in moments.items()])
-    r = round_half_up(_pearson(*[F.col(m) for m in moments]), digits)
+
+    def varies(place: str) -> Column:
+        at = F.col(place) + 1
+        return F.min(F.element_at("low", at)) < F.max(F.element_at("high", at))
+
+    summed = both.groupBy("i", "j").agg(
+        *[F.sum(m).alias(name) for name, m in moments.items()],
+        (varies("i") & varies("j")).alias("varies"),
+    )
+    r = round_half_up(_pearson(*[F.col(m) for m in moments], F.col("varies")), digits)
     named = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("i") + 1).alias("Column")
     matrix = summed.select(named, "j", r.alias("r")).groupBy("Column").agg(
         *[F.max(F.when(F.col("j") == j, F.col("r"))).alias(c) for j, c in enumerate(columns)]

@@ -119,6 +119,17 @@ def test_correlation_is_symmetric_with_blanks(clean):
     assert rows["Driver Ratings"]["Is_Completed"] is None
 
 
+def test_correlation_with_a_long_constant_is_missing(spark):
+    n = 300_000
+    df = spark.range(0, n, 1, 1).select(
+        F.when(F.col("id") % 100 < 62, F.lit(1.0)).otherwise(0.0).alias("flag"),
+        F.when(F.col("id") % 100 < 62, F.col("id") % 7).alias("held"),
+    )
+    rows = {r["Column"]: r for r in statistics.correlation_matrix(df, ["flag", "held"]).collect()}
+    assert rows["held"]["flag"] is None and rows["flag"]["held"] is None
+    assert rows["flag"]["flag"] == 1.0 and rows["held"]["held"] == 1.0
+
+
 def test_correlation_of_two_rows_and_of_one(spark):
     df = spark.createDataFrame([(1.0, 2.0, None), (2.0, 4.0, 1.0)], "a double, b double, c double")
     rows = {r["Column"]: r for r in statistics.correlation_matrix(df, ["a", "b", "c"]).collect()}
