@@ -1,5 +1,6 @@
 """Cleaning and derivation on hand-made rows."""
 
+import re
 from datetime import datetime
 
 import pytest
@@ -7,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ridelens import schema as S
 from ridelens.functions import calendar, numbers, text
-from ridelens.operators import cleaning, filters
+from ridelens.operators import cleaning, filters, profiling
+from ridelens.plans import layers
 from ridelens.sources import raw, sinks
 
 
@@ -227,3 +229,23 @@ def test_absent_report_is_empty(spark, tmp_path):
 def test_month_label(spark):
     df = spark.range(1).select(calendar.month_label(F.lit(2024), F.lit(3)).alias("m"))
     assert df.first().m == "2024-03"
+
+
+def test_stored_tables_come_from_compiled_code(spark, sf_dir):
+    """The JVM compiles no method above 8,000 bytes of code: each row would be interpreted."""
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    for df in (
+        layers.raw_rows(spark, sf_dir),
+        layers.cleaned_rows(spark, sf_dir),
+        layers.cleaned_rows_alternative(spark, sf_dir),
+        profiling.audit_table(layers.raw_rows(spark, sf_dir)),
+    ):
+        code = debug.codegenString(df._jdf.queryExecution().executedPlan())
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+        assert max(sizes, default=0) < 8000
+
+
+def test_equal_rows_are_removed_without_a_shuffle_of_wide_rows(spark, sf_dir):
+    plan = layers.cleaned_rows(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Exchange")]
+    assert "HashAggregate" in above and "Generate explode" in above
