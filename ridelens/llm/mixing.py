@@ -4,15 +4,17 @@ Documents fall into cells of source, language and topic. Token counts per cell a
 raked to the wanted totals of each of the three marginals in turn, and a cell's share
 of tokens to keep becomes the probability that one of its documents is kept. Raking
 works on the cells, which are counted with partial aggregation first: a source with a
-third of all rows is a few counted cells. The totals of a marginal are grouped sums that
-are joined back to the cells, so a language that most cells have is no single task.
+third of all rows is a few counted cells. Cells that one task holds are raked there without
+a shuffle; of more, the totals of a marginal are grouped sums that are joined back to the
+cells, so a language that most cells have is no single task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridelens.llm.tables import stored, table
@@ -23,6 +25,8 @@ KEEP = 0.5
 TOLERANCE = 1e-4
 #: or after so many rounds over the three marginals.
 ROUNDS = 100
+#: Cells that one task of a round takes.
+CELLS_PER_TASK = 50_000
 SEED = "mix-1"
 DIMENSIONS = ("source", "lang", "topic")
 _TOKEN = r"[^ \t\n\x0B\f\r]+"  # noqa: S105
@@ -87,8 +91,12 @@ def rake(
         values = values.select("_value", scaled.alias(f"_want_{d}"))
         state = state.join(values, F.col(d).eqNullSafe(F.col("_value"))).drop("_value")
     state = stored(state, "raked")
+    # Tasks by the number of cells: those that one task holds are raked without any shuffle.
+    tasks = max(1, math.ceil(state.count() / CELLS_PER_TASK))
+    if tasks == 1:
+        state = state.withColumn(_FEW, F.lit(True))
     for _ in range(rounds):
-        state = stored(_raked_once(state), "raked")
+        state = stored(_raked_once(state.coalesce(tasks)), "raked")
         moved = state.agg(F.sum(F.abs(F.col("_w") - F.col("_before")))).first()[0]
         if not moved or moved <= tolerance * total:
             break
@@ -96,10 +104,19 @@ def rake(
     return state.select(*cells.columns, F.round(share, 6).alias("_mix_probability"))
 
 
+# A column that only cells of one task have.
+_FEW = "_few"
+
+
 def _raked_once(state: DataFrame) -> DataFrame:
     """One round: the weights ``_w`` scaled to each marginal in turn, then cut to the tokens."""
     state = state.withColumn("_before", F.col("_w"))
     for d in DIMENSIONS:
+        if _FEW in state.columns:
+            now = F.sum("_w").over(Window.partitionBy(d))
+            scaled = F.try_divide(F.col("_w") * F.col(f"_want_{d}"), now)
+            state = state.withColumn("_w", F.coalesce(scaled, F.lit(0.0)))
+            continue
         sums = state.groupBy(F.col(d).alias("_value")).agg(F.sum("_w").alias("_now"))
         scaled = F.try_divide(F.col("_w") * F.col(f"_want_{d}"), F.col("_now"))
         state = (

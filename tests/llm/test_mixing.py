@@ -100,3 +100,25 @@ def test_residuals_show_how_far_the_marginals_are(spark, sf_dir):
         wanted = sum(r.wanted for r in rows if r.dimension == d)
         got = sum(r.expected for r in rows if r.dimension == d)
         assert got <= wanted * 1.01 and all(0 <= r.residual for r in rows)
+
+
+def test_rounds_over_few_cells_need_no_shuffle(spark, monkeypatch):
+    plans, once = [], mixing._raked_once
+
+    def watched(state):
+        raked = once(state)
+        plans.append(raked._jdf.queryExecution().executedPlan().toString())
+        return raked
+
+    monkeypatch.setattr(mixing, "_raked_once", watched)
+    cells = spark.createDataFrame(
+        [(s, g, "x", 10 + 7 * i) for i, (s, g) in enumerate((s, g) for s in "abcd" for g in ("en", None))],
+        "source string, lang string, topic string, tokens long",
+    )
+    few = {r[:3]: r["_mix_probability"] for r in rake(cells).collect()}
+    assert plans and not any("hashpartitioning" in p for p in plans)
+    plans.clear()
+    monkeypatch.setattr(mixing, "CELLS_PER_TASK", 3)
+    many = {r[:3]: r["_mix_probability"] for r in rake(cells).collect()}
+    assert any("hashpartitioning" in p for p in plans)
+    assert all(abs(few[k] - p) < 1e-6 for k, p in many.items())
