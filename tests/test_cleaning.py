@@ -249,3 +249,15 @@ def test_equal_rows_are_removed_without_a_shuffle_of_wide_rows(spark, sf_dir):
     plan = layers.cleaned_rows(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     above = plan[: plan.index("Exchange")]
     assert "HashAggregate" in above and "Generate explode" in above
+
+
+def test_rows_per_cleaning_task_do_not_grow_with_the_input(spark, sf_dir, monkeypatch):
+    layers.input_state(spark, sf_dir)
+    size = layers._BYTES[spark.sparkContext.applicationId, sf_dir]
+    for n in (20, 40):
+        monkeypatch.setattr(layers, "TASK_BYTES", size // n)
+        for rows in (layers.cleaned_rows, layers.cleaned_rows_alternative):
+            plan = rows(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+            assert re.search(rf"hashpartitioning\(l_orderkey.*, {n}\), REPARTITION_BY_NUM", plan)
+    monkeypatch.setattr(layers, "TASK_BYTES", size * 100)
+    assert layers.cleaning_tasks(spark, sf_dir) == 1
