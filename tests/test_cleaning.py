@@ -261,3 +261,54 @@ def test_rows_per_cleaning_task_do_not_grow_with_the_input(spark, sf_dir, monkey
             assert re.search(rf"hashpartitioning\(l_orderkey.*, {n}\), REPARTITION_BY_NUM", plan)
     monkeypatch.setattr(layers, "TASK_BYTES", size * 100)
     assert layers.cleaning_tasks(spark, sf_dir) == 1
+
+
+def odd_rows(spark):
+    values = ["x", " x ", '"x"', "NaN", '"NaN"', " null", "", " ", "a  b", "a b", "a\tb", "é ",
+              "'q'", "7.5", '"7.5"', " -1 ", "1e999", "N/A", "#N/A N/A", None]
+    rows = [(i, *[values[(i + k * j) % len(values)] for j in range(len(S.RAW_COLUMNS))])
+            for k in range(3) for i in range(len(values))]
+    fields = ", ".join(f"`{c}` string" for c in S.RAW_COLUMNS)
+    return spark.createDataFrame(rows, f"id long, {fields}")
+
+
+def test_one_pass_gives_what_two_give(spark):
+    rows = odd_rows(spark)
+    known = raw.normalise_missing(rows)
+    for clean in (
+        lambda df, **one: cleaning.clean_bookings(df, keep_invalid=True, **one),
+        cleaning.clean_bookings_alternative, profiling.audit_table,
+    ):
+        once, twice = clean(rows, normalise=True), clean(known)
+        assert once.schema.simpleString() == twice.schema.simpleString()
+        assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
+    apart = known.transform(cleaning.clean_text_columns).transform(cleaning.drop_exact_duplicates)
+    packed = cleaning.clean_text_columns(rows, normalise=True, distinct=True)
+    assert sorted(map(str, packed.collect())) == sorted(map(str, apart.collect()))
+
+
+def test_rows_that_become_equal_by_different_ways_are_one(spark):
+    df = spark.createDataFrame([("a  b", '"q"'), ("a b", "q"), (" a b", "q "), ("NaN", "q"), (None, "q")],
+                               "a string, b string")
+    got = cleaning.clean_text_columns(df, normalise=True, distinct=True).collect()
+    assert sorted(map(tuple, got), key=str) == [("a b", "q"), (None, "q")]
+
+
+def test_texts_are_cleaned_in_one_pass_by_compiled_code(spark, sf_dir):
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    spark.conf.set("spark.sql.adaptive.enabled", False)  # else the report on code is empty
+    try:
+        for df in (
+            layers.cleaned_rows(spark, sf_dir, True),
+            layers.cleaned_rows_alternative(spark, sf_dir),
+            profiling.audit_table(layers.bookings_text(spark, sf_dir), normalise=True),
+        ):
+            executed = df._jdf.queryExecution().executedPlan()
+            sizes = re.findall(r"maxMethodCodeSize:(\d+)", debug.codegenString(executed))
+            assert sizes and max(map(int, sizes)) < 8000
+            # one lambda function, for the rows that need the long way
+            assert executed.toString().count("transform(") == 1
+        plan = layers.cleaned_rows(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"HashAggregate\(keys=\[[^\]]*_changed", plan)) == 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
